@@ -1,7 +1,8 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
 Texts are cut into blocks of words. Per source and pass a seeded hash permutes the blocks; passes below the target
-take every block, the last one as many as bring the words nearest to the target. These exact block quotas are
+take every block, the last one as many as meet the target (its last block is cut there; whole documents: as near as
+they come). These exact block quotas are
 split among output shards by a binary tree: each node draws, from generators keyed by seed and node, how many
 of its blocks of each source go left (multivariate hypergeometric), so any task can walk to any shard alone.
 A shard then owns a range of each source's permutation: its blocks are disjoint from all others', and a second
@@ -154,7 +155,12 @@ def mix(documents: DataFrame, weights: Callable[[list], dict] = cycled, share: f
     ends = ranked.groupBy("sid", "pass", "range").agg(F.max("rank").alias("n"), F.max("words_to").alias("w"))
     ends = ends.select("sid", "pass", "range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"))
     placed = ranked.join(ends, ["sid", "pass", "range"])
-    placed = placed.where((F.col("pass") < F.col("full")) | (F.col("w0") + F.col("words_to") - F.col("words") / 2 <= F.col("rest")))
+    over = F.col("w0") + F.col("words_to") - F.col("rest")
+    if block_words:  # the last block is cut where the target is met
+        cut_to = F.when((F.col("pass") < F.col("full")) | (over <= 0), F.col("words")).otherwise(F.col("words") - F.ceil(over))
+        placed = placed.withColumn("words", cut_to.cast("long")).where("words > 0")
+    else:
+        placed = placed.where((F.col("pass") < F.col("full")) | (over <= F.col("words") / 2))
     placed = placed.select("rid", "doc_id", "sid", "pass", "block", "words", (F.col("pass") * F.col("n_blocks") + F.col("n0") + F.col("rank") - 1).alias("pos"))
     placed = stage(placed, "placed")
 
