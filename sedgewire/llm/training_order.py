@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgewire.llm.common import U, mix64, scratch_path, small_batches, stage
-from sedgewire.llm.tokens import token_ids
+from sedgewire.llm.tokens import token_list
 
 LENGTH = 256
 SHARD = 16_384
@@ -52,10 +52,8 @@ def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def _sequences(text: str | None, path: str) -> np.ndarray:
-    ids = np.append(token_ids(text or "", path), np.uint32(0))
-    if ids.max() >= 1 << 16:
-        raise ValueError("the vocabulary needs more than 16 bits")
-    return ids.astype("<u2")
+    """The ids of a text and its end token; an id that needs more than 16 bits raises."""
+    return np.array([*token_list(text or "", path), 0], "<u2")
 
 
 def _count(path: str, length: int):
@@ -63,7 +61,7 @@ def _count(path: str, length: int):
         total, part = 0, None
         for batch in batches:
             for text, part in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                total += -(-len(_sequences(text, path)) // length)
+                total += len(token_list(text or "", path)) // length + 1  # with the end token, rounded up
         if part is not None:
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total], pa.int64())], ["part", "n"])
 
