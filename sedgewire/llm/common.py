@@ -66,8 +66,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 _BASE = U(0x9E3779B97F4A7C15)
 _PIECE = 1 << 20
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
+ASCII_SPACE = np.zeros(256, bool)
+ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -92,7 +92,7 @@ def _pieces(raw: bytes):
     at = 0
     while len(raw) - at > _PIECE:
         end = at + _PIECE
-        while end < len(raw) and not _SPACE[raw[end]]:
+        while end < len(raw) and not ASCII_SPACE[raw[end]]:
             end += 1
         yield raw[at:end]
         at = end
@@ -106,7 +106,7 @@ def word_hashes(raw: bytes, lower: bool = True) -> np.ndarray:
         data = np.frombuffer(piece, np.uint8)
         if not len(data):
             continue
-        word = ~_SPACE[data]
+        word = ~ASCII_SPACE[data]
         edge = np.flatnonzero(np.diff(word, prepend=False, append=False))
         if not len(edge):
             continue

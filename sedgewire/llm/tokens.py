@@ -10,10 +10,14 @@ import re
 
 import numpy as np
 
+from sedgewire.llm.common import ASCII_SPACE
+
 _ready: dict[str, tuple] = {}
 _OTHER = re.compile("[^\x00-ɏ]")
 #: The split pattern of this family of vocabularies, in its possessive form.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: The same where no two white spaces meet; without look-ahead it is a plain automaton.
+SINGLE = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s"
 
 
 def _byte_letters() -> dict[str, int]:
@@ -36,17 +40,18 @@ def _load(path: str) -> tuple:
         special = [x["content"] for x in made.get("added_tokens", [])]
         letters = _byte_letters()
         ranks = {bytes(letters[c] for c in token): k for token, k in made["model"]["vocab"].items() if token not in special}
-        fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        _ready[path] = fast.encode_ordinary, Tokenizer.from_file(path), special
+        fast = [tiktoken.Encoding("own", pat_str=p, mergeable_ranks=ranks, special_tokens={}).encode_ordinary for p in (PATTERN, SINGLE)]
+        _ready[path] = *fast, Tokenizer.from_file(path), special
     return _ready[path]
 
 
 def token_list(text: str, path: str) -> list[int]:
     """The ids of a whole text."""
-    fast, exact, special = _load(path)
+    fast, fastest, exact, special = _load(path)
     if not text.isascii() and _OTHER.search(text) or any(x in text for x in special):
         return exact.encode(text, add_special_tokens=False).ids
-    return fast(text)
+    space = ASCII_SPACE[np.frombuffer(text.encode(), np.uint8)]
+    return (fast if (space[1:] & space[:-1]).any() or "\x85" in text or "\xa0" in text else fastest)(text)
 
 
 def token_ids(text: str, path: str) -> np.ndarray:
