@@ -28,7 +28,7 @@ from sedgewire.llm.common import WORD, stage
 
 BLOCK_WORDS = 512
 SHARD_BLOCKS = 4096
-RANGE = 20_000
+RANGE = 2_000
 MOST_SOURCES = 1_000_000
 _QUOTA = "sid int, shard long, start long, n long"
 

@@ -29,7 +29,7 @@ from sedgewire.llm.common import small_batches, stage
 from sedgewire.llm.tokens import token_ids
 
 ROOM = 2048
-BUCKET = 20_000
+BUCKET = 1_000
 _PIECES = "rid long, doc_id long, piece int, start long, length int, ids_crc32 long"
 _PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
