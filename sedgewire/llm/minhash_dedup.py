@@ -6,9 +6,10 @@
 3. Each bucket's members are compared with its least member only (a star: rows in proportion to the bucket).
    Signatures are compared batch by batch, and a pair is dropped as soon as the posterior probability that its
    similarity reaches the threshold falls below MISS; the survivors are verified on their full sets.
-4. Buckets whose other members are then not all in one component hold pairs not compared yet. Their members
-   meet in tiles of bounded size, where pairs across components go through the same pruning and verification;
-   a tile returns a spanning forest of its links. No pair within a bucket is left out, none is listed twice over.
+4. Buckets whose other members are then not all in one component hold pairs not compared yet. Those across
+   components of buckets of at most FEW are listed, pruned and verified likewise. The members of larger buckets
+   meet in tiles of bounded size, which prune and verify inside and return a spanning forest of their links. So
+   no pair within a bucket is left out, and what is listed is in proportion to the members.
 
 Defined results: null texts and texts without words are empty, link with nothing and are kept; repeated rows are
 one class; a null doc_id takes part, but its own row is not kept if its class has an id. Extra columns are
@@ -33,6 +34,8 @@ BANDS, ROWS = 32, 5
 HASHES = BANDS * ROWS
 #: Signature values compared at a time, and the probability that a batch drops a true link.
 BATCH, MISS = 16, 1e-9
+#: Members of a bucket up to which its pairs are listed, each pair once for all buckets; larger ones go by tiles.
+FEW = 24
 #: Shingles in a side of a tile, on average.
 TILE_SHINGLES = 300_000
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
@@ -168,6 +171,13 @@ def _tile_links(percent: int, least: np.ndarray):
     return run
 
 
+def _beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the values of both, from (node, value)."""
+    name = values.columns[1]
+    to_a, to_b = (values.select(F.col("node").alias(k), F.col(name).alias(v)) for k, v in (("a", "x"), ("b", "y")))
+    return pairs.join(to_a, "a").join(to_b, "b").select("a", "b", "x", "y")
+
+
 def near_documents(documents: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of documents (doc_id, text)."""
     small_batches(documents.sparkSession)
@@ -175,39 +185,55 @@ def near_documents(documents: DataFrame, percent: int = 85, width: int = WIDTH)
     rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = stage(rows.mapInArrow(_sign(width), "rid long, doc_id long, size long, key binary, sig binary"), "signed")
     classes = stage(signed.where("key is not null").groupBy("key").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"), F.max("size").alias("size")), "classes")
-    sigs = stage(classes.select("node").join(signed.select(F.col("rid").alias("node"), "sig"), "node"), "signatures")
+    copies = stage(signed.select("rid", "key").join(classes.select("key", "node"), "key").where("rid <> node").select("rid"), "copies")
+    sigs = signed.where("key is not null").join(if_small(copies), "rid", "left_anti").select(F.col("rid").alias("node"), "sig")
 
     bands = stage(sigs.mapInArrow(_bands, "bucket long, node long"), "bands")
-    shared = bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("n")).where("n > 1")
-    members = stage(bands.join(shared, "bucket").where("node <> centre"), "members")
-    stars = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-
-    def beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
-        name = values.columns[1]
-        return pairs.join(values.select(F.col("node").alias("a"), F.col(name).alias("x")), "a").join(values.select(F.col("node").alias("b"), F.col(name).alias("y")), "b").select("a", "b", "x", "y")
-
-    possible = stage(beside(stars, sigs).mapInArrow(_possible(least), "a long, b long"), "possible")
-    #: Buckets of two are done with their star; only members of larger ones can be needed again.
-    nodes = possible.select(F.col("a").alias("node")).union(possible.select("b")).union(members.where("n > 2").select("node")).distinct()
-    wanted = stage(nodes.join(classes, "node").select("node", "key"), "wanted")
-    texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
-    ids = stage(wanted.join(signed, wanted["node"] == signed["rid"]).select("doc_id"), "ids")
-    picked = texts.join(if_small(ids), texts["id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
-    full = picked.mapInArrow(_full_sets(width), "key binary, full binary").dropDuplicates(["key"])
-    sets = stage(full.join(if_small(wanted), "key").select("node", "full"), "sets")
-    links = stage(beside(possible, sets).mapInArrow(_verified(percent), "a long, b long"), "links")
+    shared = stage(bands.groupBy("bucket").agg(F.min("node").alias("centre"), F.max("node").alias("other"), F.count("*").alias("n")).where("n > 1"), "shared")
+    larger = if_small(stage(shared.where("n > 2").select("bucket", "centre", "n"), "larger"))
+    members = stage(bands.join(larger, "bucket").where("node <> centre"), "members")
+    stars = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).union(shared.where("n = 2").select("centre", "other"))
+    stars = stage(stars.distinct(), "stars")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """The pairs that the signatures leave possible."""
+        nodes = stage(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "nodes")
+        values = stage(sigs.join(if_small(nodes), "node", "left_semi"), "sigs")
+        return stage(_beside(pairs, values).mapInArrow(_possible(least), "a long, b long"), "possible")
+
+    def full_sets(nodes: DataFrame) -> DataFrame:
+        """(node, full) of these nodes, from the whole texts."""
+        wanted = stage(nodes.distinct().join(classes.select("node", "key"), "node"), "wanted")
+        ids = stage(wanted.join(signed.select("rid", "doc_id"), wanted["node"] == signed["rid"]).select("doc_id"), "ids")
+        texts = documents.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string"))
+        picked = texts.join(if_small(ids), texts["id"].eqNullSafe(ids["doc_id"]), "left_semi").select("text")
+        full = picked.mapInArrow(_full_sets(width), "key binary, full binary").join(if_small(wanted), "key")
+        return stage(full.dropDuplicates(["node"]).select("node", "full"), "sets")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        sets = full_sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
+        return stage(_beside(pairs, sets).mapInArrow(_verified(percent), "a long, b long"), "links")
+
+    links = verified(possible(stars))
     roots = components(links)
 
-    rest = members.where("n > 2").select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
+    #: Buckets of two are done with their star. In larger ones the other members are not compared yet.
+    rest = members.select("bucket", "node").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("comp"))
     open_ = rest.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark")).where("lo <> hi")
-    open_ = stage(open_.groupBy("n", "mark").agg(F.min("bucket").alias("bucket")).select("bucket"), "open")
+    open_ = stage(open_.groupBy("n", "mark").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "open")
     if not open_.isEmpty():
-        inside = stage(rest.join(open_, "bucket").join(classes.select("node", "size"), "node"), "inside")
-        blocks = inside.groupBy("bucket").agg(F.ceil(F.sum("size") / TILE_SHINGLES).cast("int").alias("blocks"))
-        tiled = inside.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sigs, "node").join(sets, "node")
-        tiled = tiled.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "comp", "block", "sig", "full")
-        more = stage(tiled.groupBy("bucket", "lo", "hi").applyInArrow(_tile_links(percent, least), "a long, b long"), "more")
+        inside = stage(rest.join(if_small(open_), "bucket"), "inside")
+        few, many = inside.where(F.col("n") <= FEW), inside.where(F.col("n") > FEW)
+        pairs = few.select("bucket", F.col("node").alias("a"), "comp").join(few.select("bucket", F.col("node").alias("b"), F.col("comp").alias("to")), "bucket").where("a < b and comp <> to")
+        more = verified(possible(stage(pairs.select("a", "b").distinct(), "pairs")))
+        if not many.isEmpty():
+            many = many.join(classes.select("node", "size"), "node")
+            blocks = many.groupBy("bucket").agg(F.ceil(F.sum("size") / TILE_SHINGLES).cast("int").alias("blocks"))
+            tiled = many.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            sets = full_sets(many.select("node"))
+            tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sigs, "node").join(sets, "node")
+            tiled = tiled.select("bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", "comp", "block", "sig", "full")
+            more = more.union(stage(tiled.groupBy("bucket", "lo", "hi").applyInArrow(_tile_links(percent, least), "a long, b long"), "tiles"))
         if not more.isEmpty():
             roots = components(links.union(more))
 
