@@ -23,14 +23,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import GAP, if_small, stage
+from sedgewire.llm.common import if_small, stage
 
 NEAR_WORDS = 8
 _LAST = (1 << 63) - 1
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(line, GAP), lambda w: w != "")
+    return F.filter(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), lambda w: w != "")
 
 
 def _identified(documents: DataFrame) -> DataFrame:
@@ -44,43 +44,47 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 def _half(words: Column, side: str, n: Column) -> Column:
     some = F.slice(words, 1, n) if side == "first" else F.slice(words, F.size(words) - n + 1, n)
-    return F.xxhash64(F.lit(side), n, F.array_join(some, " "))
+    return F.xxhash64(F.lit(side), some)
 
 
 def distinct_lines(documents: DataFrame, near_words: int) -> tuple[DataFrame, DataFrame]:
-    """The places of all lines with words, and the distinct lines with their first place and half keys."""
+    """The places of all lines with words, and the distinct lines with their number, first place and half keys."""
     rows = _lines(_identified(documents)).select("at_", "hash_", "line_no", words_of(F.col("line")).alias("w")).where("size(w) > 0")
-    text = F.array_join("w", " ")
     n = F.size("w")
-    lengths = F.ceil((n - 1) / 2).cast("int"), F.ceil(n / 2).cast("int")
-    halves = [F.when(n >= near_words, _half(F.col("w"), side, x)).alias(f"half{k}") for k, (side, x) in enumerate((s, x) for s in ("first", "last") for x in lengths)]
-    places = stage(rows.select("at_", "hash_", "line_no", F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("other"), text).alias("h2"), *halves), "lines")
+    #: The two half lengths of an even n are equal.
+    lengths = ((F.floor(n / 2).cast("int"), n >= near_words), (F.ceil(n / 2).cast("int"), (n >= near_words) & (n % 2 == 1)))
+    halves = [F.when(has, _half(F.col("w"), side, x)).alias(f"half{k}") for k, (side, (x, has)) in enumerate((s, x) for s in ("first", "last") for x in lengths)]
+    places = stage(rows.select("at_", "hash_", "line_no", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit("other"), "w").alias("h2"), *halves), "lines")
     first = F.min(F.struct("at_", "hash_", "line_no")).alias("first")
-    lines = places.groupBy("h1", "h2").agg(first, *(F.max(f"half{k}").alias(f"half{k}") for k in range(4)))
+    lines = places.groupBy("h1", "h2").agg(first, F.count("*").alias("n"), *(F.max(f"half{k}").alias(f"half{k}") for k in range(4)))
     return places, stage(lines, "distinct")
 
 
 def near_lines(documents: DataFrame, lines: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines that have an earlier line within one edit, not equal."""
     line, first = ["h1", "h2"], F.col("first")
-    keyed = lines.where("half0 is not null").select(*line, "first", F.explode(F.array_distinct(F.array(*(f"half{k}" for k in range(4))))).alias("half"))
+    keyed = lines.where("half0 is not null").select(*line, "first", F.explode(F.array_distinct(F.array(*(f"half{k}" for k in range(4))))).alias("half")).where("half is not null")
     shared = keyed.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
+    shared = if_small(stage(shared, "halves"))
     wanted = stage(keyed.join(shared, "half", "left_semi").select(*line, first["at_"].alias("at_"), first["hash_"].alias("hash_"), first["line_no"].alias("line_no")).distinct(), "wanted")
 
     texts = _lines(_identified(documents).select("text", "at_", "hash_")).join(if_small(wanted), ["at_", "hash_", "line_no"])
     place = F.struct("at_", "hash_", "line_no").alias("place")
     words = stage(texts.dropDuplicates(["at_", "hash_", "line_no"]).select(*line, place, words_of(F.col("line")).alias("w")), "words")
 
-    each = words.select(*line, "place", F.size("w").alias("n"), F.posexplode("w").alias("gap", "word"))
-    here, moved = F.xxhash64("gap", "word"), F.xxhash64(F.col("gap") - 1, "word")
-    order = Window.partitionBy(*line).orderBy("gap")
-    before = F.coalesce(F.expr("bit_xor(here)").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    after = F.coalesce(F.expr("bit_xor(moved)").over(order.rowsBetween(1, Window.unboundedFollowing)), F.lit(0).cast("long"))
-    each = each.withColumn("here", here).withColumn("moved", moved)
-    cut = each.select(*line, "place", "gap", (F.col("n") - 1).alias("left"), before.bitwiseXOR(after).alias("key"))
-    whole = each.groupBy(*line, "place", "n").agg(F.expr("bit_xor(here)").alias("key")).select(*line, "place", F.lit(-1).alias("gap"), F.col("n").alias("left"), "key")
-    variants = stage(cut.union(whole), "variants")
-
+    each = words.select(*line, F.size("w").alias("n"), F.posexplode("w").alias("gap", "word"))
+    each = each.select(*line, "n", "gap", F.xxhash64("gap", "word").alias("here"), F.xxhash64(F.col("gap") - 1, "word").alias("moved"))
+    order = Window.partitionBy(*line).orderBy("gap").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*line)
+    xor = lambda name, over: F.expr(f"bit_xor({name})").over(over)
+    #: Before the gap as they stand, after it moved up; the whole line is a gap at -1.
+    cut = each.select(*line, "n", "gap", xor("here", order).bitwiseXOR(F.col("here")).bitwiseXOR(xor("moved", whole)).bitwiseXOR(xor("moved", order)).alias("cut"), xor("here", whole).alias("all"))
+    own = F.struct(F.col("gap"), (F.col("n") - 1).alias("left"), F.col("cut").alias("key"))
+    uncut = F.struct(F.lit(-1).alias("gap"), F.col("n").alias("left"), F.col("all").alias("key"))
+    variants = stage(cut.select(*line, F.explode(F.when(F.col("gap") == 0, F.array(own, uncut)).otherwise(F.array(own))).alias("v")).select(*line, "v.gap", "v.left", "v.key"), "variants")
+
+    met = stage(variants.groupBy("key", "left").agg(F.count("*").alias("n")).where("n > 1").select("key", "left"), "met")
+    variants = stage(variants.join(if_small(met), ["key", "left"]).join(words.select(*line, "place"), line), "equal")
     earliest = F.min(F.struct("place", *line)).alias("to")
     same_gap = variants.groupBy("key", "left", "gap").agg(earliest)
     by_cut = variants.where("gap >= 0").groupBy("key", "left").agg(earliest)
@@ -101,14 +105,13 @@ def within_one(a: Column, b: Column) -> Column:
 
 
 def removed_lines(documents: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
-    """(at_, hash_, removed, n_word_lines): the line numbers that go from each document that loses any, in order."""
+    """(at_, hash_, removed): the line numbers that go from each document that loses any, in order."""
     places, lines = distinct_lines(documents.select("doc_id", "text"), near_words)
     near = stage(near_lines(documents.select("doc_id", "text"), lines), "near").withColumn("near", F.lit(True))
-    verdict = lines.select("h1", "h2", "first").join(near, ["h1", "h2"], "left")
-    gone = places.select("at_", "hash_", "line_no", "h1", "h2").distinct().join(verdict, ["h1", "h2"])
-    gone = gone.where(F.col("near") | (F.struct("at_", "hash_", "line_no") != F.col("first")))
-    counts = gone.groupBy("at_", "hash_").agg(F.array_sort(F.collect_list("line_no")).alias("removed"))
-    return counts
+    verdict = stage(lines.select("h1", "h2", "first", "n").join(near, ["h1", "h2"], "left").where("n > 1 or near").drop("n"), "verdict")
+    gone = places.select("at_", "hash_", "line_no", "h1", "h2").join(if_small(verdict), ["h1", "h2"])
+    gone = gone.where(F.coalesce("near", F.lit(False)) | (F.struct("at_", "hash_", "line_no") != F.col("first")))
+    return gone.groupBy("at_", "hash_").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
 def dedup_lines(documents: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
