@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+@contextmanager
+def pinned_splits(spark: SparkSession):
+    """Within it a scan of files is split alike each time, though executors come and go; so row numbers agree."""
+    pin = "spark.sql.files.minPartitionNum"
+    was = spark.conf.get(pin, None)
+    spark.conf.set(pin, was or str(spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.unset(pin) if was is None else spark.conf.set(pin, was)
+
+
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession

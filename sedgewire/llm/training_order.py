@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import U, mix64, scratch_path, small_batches, stage
+from sedgewire.llm.common import U, mix64, pinned_splits, scratch_path, small_batches, stage
 from sedgewire.llm.tokens import token_list
 
 LENGTH = 256
@@ -99,9 +99,7 @@ def write_order(documents: DataFrame, path: str, to: str, length: int = LENGTH,
     scan of files, so that it can be read twice alike; anything else should be written first."""
     spark = documents.sparkSession
     small_batches(spark)
-    pin, was = "spark.sql.files.minPartitionNum", spark.conf.get("spark.sql.files.minPartitionNum", None)
-    spark.conf.set(pin, was or str(spark.sparkContext.defaultParallelism))
-    try:
+    with pinned_splits(spark):
         rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.spark_partition_id().alias("part"))
         counts = sorted((r["part"], r["n"]) for r in rows.mapInArrow(_count(path, length), "part int, n long").collect())  # a row per split
         base, n = {}, 0
@@ -112,8 +110,6 @@ def write_order(documents: DataFrame, path: str, to: str, length: int = LENGTH,
             dealt = rows.mapInArrow(_write(path, length, base, n, key, shard), "shard long, slot long, value binary")
             dealt = dealt.repartition(ceil(n / shard), "shard").sortWithinPartitions("shard", "slot")
             dealt.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(to)
-    finally:
-        spark.conf.unset(pin) if was is None else spark.conf.set(pin, was)
     return n
 
 

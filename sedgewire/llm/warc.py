@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import scratch_path, small_batches, stage
+from sedgewire.llm.common import pinned_splits, scratch_path, small_batches, stage
 
 #: Payloads from this size on are written once.
 LEAST_SHARED = 100
@@ -52,7 +52,7 @@ def _clean_uri(url: Column) -> Column:
 
 
 def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes pages (page_id, url, html) as archives under path."""
+    """Writes pages (page_id, url, html) as archives under path. pages must be a scan of files, read twice alike."""
     rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     size = F.octet_length("html").cast("long")
     rows = rows.select("*", size.alias("size"), F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
@@ -176,6 +176,7 @@ def captures(pages: DataFrame) -> DataFrame:
     and the page_id of the response that a revisit refers to."""
     spark = pages.sparkSession
     path = scratch_path(spark, "warc")
-    write_captures(pages, path)
+    with pinned_splits(spark):
+        write_captures(pages, path)
     field = lambda name: F.nullif(F.regexp_extract(F.col("metadata")["fields"], rf"(?:^|\n){name}: (-?\d+)", 1), F.lit("")).cast("long")
     return assemble(stage(read_records(spark, path).drop("payload"), "records").withColumn("payload", F.lit(None).cast("binary"))).select("*", field("page_id").alias("page_id"), field("refers_to").alias("refers_to_page"))
