@@ -108,7 +108,7 @@ def _like(text: str) -> str:
 
 class _Parser:
     def __init__(self, text: str, fields: Fields):
-        self.list, self.at, self.fields = tokens(text), 0, fields
+        self.list, self.at, self.fields, self.must = tokens(text), 0, fields, []
 
     def peek(self, k: int = 0) -> Token | None:
         return self.list[self.at + k] if self.at + k < len(self.list) else None
@@ -124,6 +124,9 @@ class _Parser:
         t = self.peek()
         return t is not None and t.kind in ("word", "sign") and t.text in texts
 
+    def needed(self, c: Column) -> bool:
+        return any(c is m for m in self.must)
+
     def query(self, name: str | None = None) -> Column:
         groups = [[self.clause(name)]]
         while (t := self.peek()) is not None and t.text != ")":
@@ -134,8 +137,8 @@ class _Parser:
                 if self.is_word("OR", "||"):
                     self.take()
                 groups.append([self.clause(name)])
-        required = [c for g in groups for c in g if getattr(c, "_must", False)]
-        parts = [reduce(lambda a, b: a & b, g) for g in groups if not all(getattr(c, "_must", False) for c in g)]
+        required = [c for g in groups for c in g if self.needed(c)]
+        parts = [reduce(lambda a, b: a & b, g) for g in groups if not all(self.needed(c) for c in g)]
         if required:
             return reduce(lambda a, b: a & b, required)
         return reduce(lambda a, b: a | b, parts)
@@ -149,7 +152,7 @@ class _Parser:
             self.list[self.at] = Token(t.kind, t.text[1:], t.at + 1)
             made = self.clause(name)
             made = made if t.text[0] == "+" else ~made
-            made._must = True
+            self.must.append(made)
             return made
         if self.is_word("("):
             self.take()
