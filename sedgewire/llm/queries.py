@@ -91,3 +91,9 @@ def pipeline(spark, sf_dir):
 
 def queries() -> dict:
     return {"pipeline": pipeline} | {f.__name__: f for f in (op1_embedding_dedup, op2_source_mixing, op3_warc_transactions, op4_line_dedup, op5_best_fit_packing, op6_quality_rules, op7_html_extraction, op8_minhash_dedup, op9_url_filters, op10_training_order)}
+
+
+def oracle_sql() -> dict[str, str]:
+    from sedgewire.llm.oracles import SQL
+
+    return SQL
