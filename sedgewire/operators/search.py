@@ -31,11 +31,12 @@ def _fields(df: DataFrame, fields: Fields | None) -> Fields:
 
 def time_range(df: DataFrame, ts: str, start: str | None, end: str | None) -> DataFrame:
     """Rows from start to end, both inclusive, compared in the column's own type so that scans can skip."""
-    kind = df.schema[ts].dataType.simpleString()
-    if start:
-        df = df.where(quoted(ts) >= F.lit(start).cast(kind))
-    if end:
-        df = df.where(quoted(ts) <= F.lit(end).cast(kind))
+    if start or end:
+        kind = df.schema[ts].dataType.simpleString()
+        if start:
+            df = df.where(quoted(ts) >= F.lit(start).cast(kind))
+        if end:
+            df = df.where(quoted(ts) <= F.lit(end).cast(kind))
     return df
 
 
