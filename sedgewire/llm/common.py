@@ -70,6 +70,14 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def guarded(df: DataFrame, *keep: str) -> tuple[DataFrame, list]:
+    """df with all columns but `keep` under names of our own, so that none clashes with what an operator adds; and the
+    columns to select to have its own names and order back."""
+    mine = {c: c if c in keep else f"own{k}_" for k, c in enumerate(df.columns)}
+    col = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(*(col(c).alias(n) for c, n in mine.items())), [col(n).alias(c) for c, n in mine.items()]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads 64-bit values evenly."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)

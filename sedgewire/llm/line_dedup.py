@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import if_small, stage
+from sedgewire.llm.common import guarded, if_small, stage
 
 NEAR_WORDS = 8
 _LAST = (1 << 63) - 1
@@ -114,20 +114,26 @@ def removed_lines(documents: DataFrame, near_words: int = NEAR_WORDS) -> DataFra
     return gone.groupBy("at_", "hash_").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
 
-def dedup_lines(documents: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
-    """documents with `removed`, the numbers of the lines that go, and `kept_text`."""
-    gone = stage(removed_lines(documents, near_words), "removed").withColumnRenamed("at_", "of_").withColumnRenamed("hash_", "of_hash")
-    out = _identified(documents).join(gone, (F.col("at_") == F.col("of_")) & (F.col("hash_") == F.col("of_hash")), "left")
+def _deduped(documents: DataFrame, near_words: int) -> DataFrame:
+    """documents (no column of ours among theirs) with removed_ and kept_."""
+    gone = stage(removed_lines(documents, near_words), "removed").select(F.col("at_").alias("of_"), F.col("hash_").alias("of_hash_"), "removed")
+    out = _identified(documents).join(gone, (F.col("at_") == F.col("of_")) & (F.col("hash_") == F.col("of_hash_")), "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
     kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n"))
-    removed = F.coalesce("removed", F.array().cast("array<int>"))
-    return out.withColumn("kept_text", kept).withColumn("removed", removed).drop("at_", "hash_", "of_", "of_hash")
+    return out.withColumn("kept_", kept).withColumn("removed_", F.coalesce("removed", F.array().cast("array<int>")))
+
+
+def dedup_lines(documents: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
+    """documents with `removed`, the numbers of the lines that go, and `kept_text`; columns of these names are replaced."""
+    own, back = guarded(documents.drop("removed", "kept_text"), "doc_id", "text")
+    return _deduped(own, near_words).select(*back, F.col("removed_").alias("removed"), F.col("kept_").alias("kept_text"))
 
 
 def keep_lines(documents: DataFrame, near_words: int = NEAR_WORDS) -> DataFrame:
     """documents with the lines that stay as their text, and n_chars to match; those that lose all their words go."""
-    out = dedup_lines(documents, near_words)
-    emptied = (F.size("removed") > 0) & ~F.col("kept_text").rlike("[^\\x20\\x09-\\x0D]")
-    columns = [F.col("kept_text").alias("text") if c == "text" else F.length("kept_text").cast(documents.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in documents.columns]
-    return out.where(~F.coalesce(emptied, F.lit(False))).select(*columns)
+    own, back = guarded(documents, "doc_id", "text")
+    out = _deduped(own, near_words)
+    emptied = (F.size("removed_") > 0) & ~F.col("kept_").rlike("[^\\x20\\x09-\\x0D]")
+    put = {"text": F.col("kept_").alias("text")} | ({"n_chars": F.length("kept_").cast(documents.schema["n_chars"].dataType).alias("n_chars")} if "n_chars" in documents.columns else {})
+    return out.where(~F.coalesce(emptied, F.lit(False))).select(*(put.get(c, b) for c, b in zip(documents.columns, back, strict=True)))

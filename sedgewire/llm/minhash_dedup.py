@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import U, Union, components, if_small, mix64, shingles, small_batches, stage
+from sedgewire.llm.common import U, Union, components, guarded, if_small, mix64, shingles, small_batches, stage
 
 WIDTH = 5
 BANDS, ROWS = 32, 5
@@ -248,4 +248,5 @@ def near_documents(documents: DataFrame, percent: int = 85, width: int = WIDTH)
 def keep_one(documents: DataFrame, percent: int = 85) -> DataFrame:
     """documents without those whose near copy with a smaller id stays. Rows that repeat a doc_id stay or go together."""
     gone = stage(near_documents(documents, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return documents.join(if_small(gone), F.col("doc_id") == F.col("gone"), "left_anti")
+    own, back = guarded(documents, "doc_id")
+    return own.join(if_small(gone), F.col("doc_id") == F.col("gone"), "left_anti").select(*back)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import WORD, if_small, stage
+from sedgewire.llm.common import WORD, guarded, if_small, stage
 
 BLOCK_WORDS = 512
 SHARD_BLOCKS = 4096
@@ -191,5 +191,6 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     share what is taken of that id."""
     made = mix(documents, block_words=None, **options)
     copies = made.blocks.groupBy("rid", "doc_id").agg(F.count("*").alias("n")).groupBy(F.col("doc_id").alias("of")).agg(F.max("n").cast("int").alias("n"))
-    out = documents.join(if_small(stage(copies, "copies")), F.col("doc_id").cast("long").eqNullSafe(F.col("of")))
-    return out.select(*documents.columns, F.explode(F.array_repeat(F.lit(0), F.col("n"))).alias("copy_")).drop("copy_")
+    own, back = guarded(documents, "doc_id")
+    out = own.join(if_small(stage(copies, "copies")), F.col("doc_id").cast("long").eqNullSafe(F.col("of")))
+    return out.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("n")))).select(*back)

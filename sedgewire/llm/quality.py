@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import mix64, small_batches, stage, word_hashes
+from sedgewire.llm.common import guarded, mix64, small_batches, stage, word_hashes
 
 #: Relative error of a sketch's quantiles.
 ACCURACY = 0.01
@@ -85,9 +85,8 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def counted(documents: DataFrame) -> DataFrame:
-    """documents with the counts of each text beside its columns; columns of those names are replaced."""
+    """documents with the counts of each text beside its columns, which bear other names."""
     small_batches(documents.sparkSession)
-    documents = documents.drop(*COUNTS)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema) + "".join(f", {c} long" for c in COUNTS)
     return documents.mapInArrow(_measured, types)
 
@@ -158,4 +157,5 @@ def keep_quality(documents: DataFrame) -> DataFrame:
     """The documents that pass, unchanged. Texts are counted twice, which is cheaper than shuffling them."""
     need = documents.select("lang", "source", "text")
     limits = stage(thresholds(sketch(stage(counted(need).drop("text"), "counts"))), "limits")
-    return judged(counted(documents), limits).where("kept").select(*documents.columns)
+    own, back = guarded(documents, "lang", "source", "text")
+    return judged(counted(own), limits).where("kept").select(*back)
