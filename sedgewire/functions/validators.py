@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,8 +47,6 @@ def is_external_ipv4(x: Column) -> Column:
 
 def is_external_ip(x: Column) -> Column:
     """The same with IPv6, by the standard library on Arrow batches; for columns that may hold either."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def outside(values: pd.Series) -> pd.Series:
         import ipaddress

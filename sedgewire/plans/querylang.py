@@ -146,12 +146,12 @@ class _Parser:
     def clause(self, name: str | None) -> Column:
         if self.is_word("NOT", "!"):
             self.take()
-            return ~self.clause(name)
+            return _not(self.clause(name))
         t = self.peek()
         if t is not None and t.kind == "word" and len(t.text) > 1 and t.text[0] in "+-!" and not t.glued:
             self.list[self.at] = Token(t.kind, t.text[1:], t.at + 1)
             made = self.clause(name)
-            made = made if t.text[0] == "+" else ~made
+            made = made & F.lit(True) if t.text[0] == "+" else _not(made)
             self.must.append(made)
             return made
         if self.is_word("("):
@@ -222,9 +222,15 @@ class _Parser:
     def on(self, name: str | None, make) -> Column:
         if name is None:
             every = [make(*found) for c in self.fields.everywhere if (found := self.fields.find(c))]
-            return F.coalesce(reduce(lambda a, b: a | b, every, F.lit(False)), F.lit(False))
+            return reduce(lambda a, b: a | b, every, F.lit(False))
         found = self.fields.find(name)
-        return F.lit(False) if found is None else F.coalesce(make(*found), F.lit(False))
+        return F.lit(False) if found is None else make(*found)
+
+
+def _not(c: Column) -> Column:
+    """Rows that do not match; a missing value does not. Only here are nulls settled, so that other predicates stay as
+    they are and reach the scan."""
+    return ~F.coalesce(c, F.lit(False))
 
 
 def _literal(kind: T.DataType, text: str) -> Column | None:

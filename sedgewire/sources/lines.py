@@ -26,7 +26,7 @@ BODYFILE = ("md5", "name", "inode", "mode_as_string", "uid", "gid", "size", "ati
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line_no, line of whole files. Line order matters to stateful formats, so a file is one row first."""
-    files = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     return files.select("file", F.posexplode(F.split("value", r"\r?\n", -1)).alias("line_no", "line"))
 
 
