@@ -101,7 +101,9 @@ def propose_hosts(names: DataFrame, hosts: DataFrame, least: float = 0.85) -> Da
     n = names.select("name", normal_host(F.col("name")).alias("n_")).distinct()
     n = n.withColumn("len_", F.explode(F.sequence(F.ceil(F.length("n_") * least).cast("int"), F.floor(F.length("n_") / least).cast("int"))))
     h = hosts.select("canonical", normal_host(F.col("canonical")).alias("h_")).distinct().withColumn("len_", F.length("h_"))
-    both = n.join(h, "len_").withColumn("score", similarity(F.col("n_"), F.col("h_"))).where(F.col("score") >= least)
+    longest = F.greatest(F.length("n_"), F.length("h_"), F.lit(1))
+    edits = F.call_function("levenshtein", F.col("n_"), F.col("h_"), F.floor((1 - least) * longest + 1e-9).cast("int"))  # -1: more than that
+    both = n.join(h, "len_").withColumn("edits", edits).where("edits >= 0").withColumn("score", 1 - F.col("edits") / longest).where(F.col("score") >= least - 1e-12)
     best = Window.partitionBy("name").orderBy(F.desc("score"), "canonical")
     return both.withColumn("rn_", F.row_number().over(best)).where("rn_ = 1").select("name", "canonical", "score")
 
