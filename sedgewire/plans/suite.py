@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedgewire.functions import ids, timeparse, validators
-from sedgewire.operators import enrich, search, store
+from sedgewire.operators import enrich, search, store, triage
 from sedgewire.plans.querylang import compile_query, fields_of
-from sedgewire.sources import lines, records
+from sedgewire.sources import catalog, lines, records, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -372,6 +372,91 @@ def set_intersect(spark, d):
     return table(spark, d, "orders").where("o_totalprice > 100000").select(F.col("o_custkey").alias("id")).intersect(table(spark, d, "customer").where("c_acctbal > 0").select("c_custkey"))
 
 
+@_query(
+    """select event_id, ts - interval 1 hour as ts, 'u' || user_id as user_name, case when event_id % 2 = 0 then 'encoded' else 'interactive' end as session_type, 2::integer as commands, 'Get-' || event_type || chr(10) || 'out' as first_command, 90::bigint as seconds
+    from (select event_id, user_id, event_type, date_trunc('second', ts) as ts from events)"""
+)
+def parse_transcript(spark, d):
+    text = r"""concat('Start time: ', date_format(ts, 'yyyyMMddHHmmss'), '\r\nUsername: DOM\\u', user_id, '\r\nHost Application: C:\\x\\powershell.exe', case when event_id % 2 = 0 then ' -EncodedCommand abc' else '' end,
+        '\r\n****\r\nnoise\r\nPS>Get-', event_type, '\r\nout\r\nPS>exit\r\n****\r\nEnd time: ', date_format(ts + interval 90 seconds, 'yyyyMMddHHmmss'), '\r\n')"""
+    out = whole.transcripts(table(spark, d, "events").select("event_id", F.expr(text).alias("text")), "Etc/GMT-1")
+    return out.select(
+        "event_id", F.col("`@timestamp`").cast("timestamp_ntz").alias("ts"), F.col("`user.name`").alias("user_name"), F.col("`transcript.session_type`").alias("session_type"),
+        F.col("`transcript.command_count`").alias("commands"), F.col("`transcript.commands`")[0].alias("first_command"), F.col("`transcript.duration_seconds`").alias("seconds"),
+    )
+
+
+@_query("select 0::integer as depth, r_regionkey::varchar as id, r_name as name from region union all select 1::integer, n_nationkey::varchar, n_name from nation")
+def memory_flatten(spark, d):
+    child = F.struct(F.col("n_nationkey").alias("PID"), F.col("n_name").alias("Name"), F.array().cast("array<string>").alias("__children"))
+    nations = table(spark, d, "nation").groupBy(F.col("n_regionkey").alias("r_regionkey")).agg(F.collect_list(child).alias("__children"))
+    tree = table(spark, d, "region").join(nations, "r_regionkey").select(F.to_json(F.array(F.struct(F.col("r_regionkey").alias("PID"), F.col("r_name").alias("Name"), "__children"))).alias("text"))
+    out = whole.memory_records(tree.withColumn("plugin", F.lit("windows.pstree")))
+    return out.select("depth", F.try_variant_get("record", "$.PID", "string").alias("id"), F.try_variant_get("record", "$.Name", "string").alias("name"))
+
+
+@_query("select r_regionkey % 3 as file, n_nationkey::varchar as id, n_name as name from nation join region on n_regionkey = r_regionkey")
+def json_array_items(spark, d):
+    """Arrays, wrappers around an array, and tshark's wrapper around a document."""
+    both = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    items = both.groupBy((F.col("r_regionkey") % 3).alias("file")).agg(F.collect_list(F.struct("n_nationkey", "n_name")).alias("items"))
+    plain, wrapped = F.to_json("items"), F.to_json(F.transform("items", lambda x: F.struct(x.alias("_source"))))
+    text = F.when(F.col("file") == 0, plain).when(F.col("file") == 1, wrapped).otherwise(F.concat(F.lit('{"zz": '), plain, F.lit(', "aa": 1}')))
+    out = whole.json_documents(items.select("file", text.alias("text")))
+    return out.select("file", F.try_variant_get("doc", "$.n_nationkey", "string").alias("id"), F.try_variant_get("doc", "$.n_name", "string").alias("name"))
+
+
+_ARTIFACTS = """select event_id, case event_id % 4 when 0 then 'evtx' when 1 then 'amcache' else 'registry' end as artifact, case when event_id % 8 = 0 then 4688 else 7000 end as `event.code`,
+    case when event_id % 16 = 0 then 'nopath' else concat('C:/p', user_id) end as `process.name`, concat('C:/p', user_id) as FullPath,
+    case event_id % 4 when 2 then concat('HKLM/Services/s', user_id, case when event_id % 3 = 0 then '/sub' else '' end) else case when event_id % 3 = 0 then 'HKLM/X/Run' else 'HKLM/Y' end end as k_,
+    case when event_id % 4 = 2 then 'ImagePath' else 'v' end as ValueName, concat('d', user_id) as ValueData from {events}"""
+
+
+def _artifacts(spark, d):
+    table(spark, d, "events").createOrReplaceTempView("sedgewire_events")
+    return spark.sql(_ARTIFACTS.format(events="sedgewire_events")).withColumn("KeyPath", F.replace("k_", F.lit("/"), F.lit("\\"))).drop("k_")
+
+
+@_query(
+    """select distinct 'file' as kind, 'C:/p' || user_id as value from events where event_id % 4 = 1 or (event_id % 8 = 0 and event_id % 16 <> 0)
+    union select 'service', 's' || user_id from events where event_id % 4 = 2 union select 'run', 'd' || user_id from events where event_id % 4 = 3 and event_id % 3 = 0"""
+)
+def triage_questions(spark, d):
+    return triage.questions(_artifacts(spark, d))
+
+
+@_query(
+    """with e as (select *, case when event_id % 4 = 1 or (event_id % 8 = 0 and event_id % 16 <> 0) then 'file' when event_id % 4 >= 2 and user_id % 5 = 0 then 'run' when event_id % 4 = 2 and user_id % 3 = 0 then 'service' end as kind from events)
+    select event_id, case kind when 'file' then case when user_id % 2 = 0 then 'MALICIOUS' end when 'run' then 'SUSPICIOUS' when 'service' then 'EXPECTED' end as verdict, case when kind = 'file' and user_id % 2 <> 0 then null else kind end as reason from e"""
+)
+def triage_answers(spark, d):
+    users = table(spark, d, "events").select("user_id").distinct()
+    v = users.select(F.explode(F.array(
+        F.struct(F.lit("file").alias("kind"), F.concat(F.lit("C:/p"), "user_id").alias("value"), F.when(F.col("user_id") % 2 == 0, "MALICIOUS").alias("verdict")),
+        F.struct(F.lit("file").alias("kind"), F.concat(F.lit("C:/p"), "user_id").alias("value"), F.when(F.col("user_id") % 2 == 0, "SUSPICIOUS").alias("verdict")),
+        F.struct(F.lit("service").alias("kind"), F.concat(F.lit("s"), "user_id").alias("value"), F.when(F.col("user_id") % 3 == 0, "EXPECTED").alias("verdict")),
+        F.struct(F.lit("run").alias("kind"), F.concat(F.lit("d"), "user_id").alias("value"), F.when(F.col("user_id") % 5 == 0, "SUSPICIOUS").alias("verdict")),
+    )).alias("v")).select("v.*").withColumn("reason", F.col("kind")).withColumn("confidence", F.lit(90)).withColumn("lolbin", F.lit(False))
+    out = triage.answered(_artifacts(spark, d), v)
+    return out.select("event_id", F.col("`triage.verdict`").alias("verdict"), F.col("`triage.reason`").alias("reason"))
+
+
+@_query("select event_id, event_type as level, ts from events where event_type like '%er%' order by ts desc, event_id limit 40")
+def detections(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.col("event_type").alias("level"), "ts")
+    return triage.detections(rows, "ER", 40, level="level", ts="ts", ties=("event_id",))
+
+
+@_query("select o_orderkey, o_orderdate as ts, substr(sha256('case-a-mft-h:' || o_orderkey::varchar || ':1:' || o_orderpriority || ':' || o_custkey::varchar), 1, 20) as _id from orders")
+def tool_rows(spark, d):
+    rows = table(spark, d, "orders").select(
+        F.col("o_orderkey").cast("string").alias("EntryNumber"), F.lit("1").alias("SequenceNumber"), F.col("o_orderpriority").alias("FileName"), F.col("o_custkey").cast("string").alias("ParentEntryNumber"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("Created0x10"), "o_orderkey",
+    )
+    out = catalog.tool_rows(rows, "mft", F.lit("case-a-mft-h"))
+    return out.select("o_orderkey", F.col("`@timestamp`").cast("timestamp_ntz").alias("ts"), "_id")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A compiled query, its terms and its timeline in one table."""
     e = table(spark, sf_dir, "events")
