@@ -24,10 +24,56 @@ DEFENDER_EXCLUSION = r"(?i)\bexclusion\w*\s+(added|removed)\s*:?\s*(.+)$"
 BODYFILE = ("md5", "name", "inode", "mode_as_string", "uid", "gid", "size", "atime", "mtime", "ctime", "crtime")
 
 
+def pin_splits(spark: SparkSession) -> None:
+    """A scan that a plan reads twice has to be split alike, though executors come and go in between."""
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line_no, line of whole files. Line order matters to stateful formats, so a file is one row first."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-    return files.select("file", F.posexplode(F.split("value", r"\r?\n", -1)).alias("line_no", "line"))
+    """file, block, line_no, line of UTF-8 files of any size. A block is a split of a file; its lines are numbered in
+    their own task, and each block needs only the number of lines before it."""
+    pin_splits(spark)
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at_"), F.col("value").alias("line")
+    )
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("file", "block").agg(F.min("at_").alias("first_"), F.count("*").alias("n_"))
+    starts = counts.select("file", "block", (F.coalesce(F.sum("n_").over(before), F.lit(0)) - F.col("first_")).alias("shift_"))
+    return rows.join(starts, ["file", "block"]).select("file", "block", (F.col("at_") + F.col("shift_")).alias("line_no"), "line")
+
+
+def sniffed_lines(files: DataFrame) -> DataFrame:
+    """file, line_no, line of whole texts (path, text), such as files in UTF-16, which cannot be split."""
+    return files.select(F.col("path").alias("file"), F.posexplode(F.split("text", r"\r?\n", -1)).alias("line_no", "line"))
+
+
+def _block(df: DataFrame) -> list[str]:
+    return ["file", "block"] if "block" in df.columns else ["file"]
+
+
+def _filled(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds the last value that is not null, at or before each line of its file. Blocks are filled in their own tasks,
+    and hand over to the next by one row each."""
+    by = _block(df)
+    rows = df.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy("line_no")))
+    if len(by) == 1:
+        return rows
+    ends = df.groupBy(*by).agg(F.max_by(value, F.when(value.isNotNull(), F.col("line_no"))).alias("end_"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    handed = ends.select(*by, F.last("end_", ignorenulls=True).over(before).alias("handed_"))
+    return rows.join(handed, by, "left").withColumn(name, F.coalesce(name, "handed_")).drop("handed_")
+
+
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """Adds the number, from 1, of each line in its file."""
+    by = _block(df)
+    rows = df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy("line_no")).cast("long"))
+    if len(by) == 1:
+        return rows
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = df.groupBy(*by).agg(F.count("*").alias("n_")).select(*by, F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("start_"))
+    return rows.join(starts, by).withColumn(name, F.col(name) + F.col("start_")).drop("start_")
 
 
 def _group(line: Column, pattern: str, k: int) -> Column:
@@ -84,8 +130,7 @@ def defender(df: DataFrame, zone: str | None = None) -> DataFrame:
     """Detections and exclusions of (file, line_no, line). A line without a time has that of the last line with one; times
     without an offset need `zone`, or their lines are left out."""
     stamped = F.col("line").rlike(DEFENDER_TIME)
-    order = Window.partitionBy("file").orderBy("line_no")
-    rows = df.withColumn("ts_", F.last(F.when(stamped, _group(F.col("line"), DEFENDER_TIME, 1)), ignorenulls=True).over(order))
+    rows = _filled(df, "ts_", F.when(stamped, _group(F.col("line"), DEFENDER_TIME, 1)))
     body = F.when(stamped, _group(F.col("line"), DEFENDER_TIME, 2)).otherwise(F.col("line"))
     rows = rows.withColumn("body_", body)
     offset = F.col("ts_").rlike(r"(?:Z|[+-]\d{2}:?\d{2})$")
@@ -110,9 +155,8 @@ def w3c(df: DataFrame, zone: str | None = "UTC") -> DataFrame:
     with times and addresses beside it. data_seq counts all data lines, also those of another width, which are left out.
     Without a zone there are no rows."""
     line, names = F.col("line"), F.split(F.trim(F.substring(F.col("line"), 9, 1 << 20)), r"\s+")
-    order = Window.partitionBy("file").orderBy("line_no")
-    rows = df.withColumn("names_", F.last(F.when(line.startswith("#Fields:"), names), ignorenulls=True).over(order))
-    rows = rows.where(~line.startswith("#") & (F.trim(line) != "")).withColumn("data_seq", F.row_number().over(order))
+    rows = _filled(df, "names_", F.when(line.startswith("#Fields:"), names))
+    rows = _numbered(rows.where(~line.startswith("#") & (F.trim(line) != "")), "data_seq")
     rows = rows.withColumn("cells_", F.split(F.trim(line), r"\s+"))
     rows = rows.where(F.col("names_").isNotNull() & (F.size("cells_") == F.size("names_")) & F.lit(zone is not None))
     rows = rows.withColumn("fields", F.map_filter(F.map_from_arrays("names_", "cells_"), lambda _, v: v != "-"))

@@ -3,6 +3,7 @@ the walk that finds artifacts on a mounted volume."""
 
 from __future__ import annotations
 
+import codecs
 import json
 import os
 from collections import Counter
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sedgewire.functions.timeparse import TIME_FIELDS, parse_time
 from sedgewire.sources.catalog import HANDLE_TYPES, MEMORY_TIMES
@@ -30,9 +32,18 @@ VOLUME_MARK = "Windows/System32/config"
 MOST_DEPTH = 50
 
 
+@F.pandas_udf(T.StringType())
+def _decoded(content: pd.Series) -> pd.Series:
+    kinds = {codecs.BOM_UTF8: "utf-8-sig", codecs.BOM_UTF16_LE: "utf-16", codecs.BOM_UTF16_BE: "utf-16"}
+    return content.map(lambda x: x.decode(next((name for mark, name in kinds.items() if x.startswith(mark)), "utf-8"), "replace"))
+
+
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """path, text of each file."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    """path, modified, text of each file, decoded by its byte order mark (UTF-16 or UTF-8) or as UTF-8; bytes that do
+    not fit read as U+FFFD."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", F.col("modificationTime").alias("modified"), _decoded("content").alias("text"))
 
 
 def _transcript_time(text: Column, zone: str | None) -> Column:

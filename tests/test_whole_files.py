@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sedgewire.functions.zones import resolve_zone
 from sedgewire.operators import store, triage
-from sedgewire.sources import catalog, whole
+from sedgewire.sources import catalog, lines, records, whole
 
 TRANSCRIPT = "\r\n".join([
     "****", "Start time: 20240701120000", "Username: DOM\\alice", "RunAs User: DOM\\bob", "Machine: WS1 (Microsoft Windows NT 10.0)", "Host Application: C:\\W\\powershell.exe -NonInteractive x y",
@@ -107,3 +107,36 @@ def test_ingest_counts(spark, tmp_path):
 def test_one_hot_identity(spark):
     df = spark.range(10_000).select(F.lit("k").alias("a"), F.col("id").alias("seq"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("x"))
     assert [tuple(r) for r in store.latest(df, ["a"], ["seq"]).collect()] == [("k", 9999, None)]
+
+
+def test_lines_of_split_files(spark, tmp_path):
+    """Many small splits of a file: lines keep their numbers, headers and times carry over, as in one piece."""
+    log = "".join(f"#Fields: date time c-ip f{k}\n" if k % 70 == 0 else f"2024-01-01 00:00:{k % 60:02d} 10.0.0.{k % 9} v{k}\n" if k % 13 else "bad\n" for k in range(1000))
+    (tmp_path / "a.log").write_text(log)
+    (tmp_path / "b.log").write_text("2024-01-01 00:00:00 10.0.0.1 early\n" + log[:500])
+    (tmp_path / "c.log").write_text("".join(f"2024-01-01T00:00:{k % 60:02d}Z note\n" if k % 50 == 0 else f"Exclusion added: x{k}\n" for k in range(400)))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        split = lines.numbered_lines(spark, str(tmp_path))
+        assert split.select("file", "block").distinct().count() > 30
+        got = sorted((r.file.rsplit("/", 1)[1], r.line_no, r.line) for r in split.collect())
+        web = [sorted(map(str, lines.w3c(x).collect())) for x in (split, split.drop("block"))]
+        av = [sorted(map(str, lines.defender(x).collect())) for x in (split, split.drop("block"))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    want = sorted((p.name, k, line) for p in tmp_path.iterdir() for k, line in enumerate(p.read_text().splitlines()))
+    assert got == want
+    assert web[0] == web[1] and len(web[0]) > 900 and av[0] == av[1] and len(av[0]) == 392
+
+
+def test_utf16_files(spark, tmp_path):
+    (tmp_path / "MPLog-1.log").write_bytes("2024-01-01T00:00:00Z Exclusion added: C:/\u00fc\r\nExclusion removed: y".encode("utf-16"))
+    (tmp_path / "plain").write_bytes(b"\xef\xbb\xbfab\xff")
+    texts = {r.path.rsplit("/", 1)[1]: r.text for r in whole.whole_files(spark, str(tmp_path)).collect()}
+    assert texts["plain"] == "ab\ufffd"
+    found = lines.defender(lines.sniffed_lines(whole.whole_files(spark, str(tmp_path)))).orderBy("line_no").collect()
+    assert [r["defender.exclusion_path"] for r in found] == ["C:/\u00fc", "y"] and str(found[1]["@timestamp"]) == "2024-01-01 00:00:00"
+    (tmp_path / "job").write_bytes('<?xml version="1.0" encoding="UTF-16"?><Task xmlns="u:x"><RegistrationInfo><Author>me</Author></RegistrationInfo></Task>'.encode("utf-16"))
+    tasks = records.scheduled_tasks(whole.whole_files(spark, str(tmp_path / "job")).select("path", "text").withColumnRenamed("text", "xml"))
+    assert tasks.first()["task.author"] == "me"
