@@ -30,7 +30,7 @@ _LAST = (1 << 63) - 1
 
 
 def words_of(line: Column) -> Column:
-    return F.filter(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.translate(line, "\t\x0b\f\r", "    "), " "), "")
 
 
 def _identified(documents: DataFrame) -> DataFrame:
@@ -49,7 +49,8 @@ def _half(words: Column, side: str, n: Column) -> Column:
 
 def distinct_lines(documents: DataFrame, near_words: int) -> tuple[DataFrame, DataFrame]:
     """The places of all lines with words, and the distinct lines with their number, first place and half keys."""
-    rows = _lines(_identified(documents)).select("at_", "hash_", "line_no", words_of(F.col("line")).alias("w")).where("size(w) > 0")
+    #: Filtered on the line, as a filter on the words would split each line twice.
+    rows = _lines(_identified(documents)).where(F.col("line").rlike("[^\\x20\\x09-\\x0D]")).select("at_", "hash_", "line_no", words_of(F.col("line")).alias("w"))
     n = F.size("w")
     #: The two half lengths of an even n are equal.
     lengths = ((F.floor(n / 2).cast("int"), n >= near_words), (F.ceil(n / 2).cast("int"), (n >= near_words) & (n % 2 == 1)))
