@@ -119,9 +119,10 @@ def _deduped(documents: DataFrame, near_words: int) -> DataFrame:
     """documents (no column of ours among theirs) with removed_ and kept_."""
     gone = stage(removed_lines(documents, near_words), "removed").select(F.col("at_").alias("of_"), F.col("hash_").alias("of_hash_"), "removed")
     out = _identified(documents).join(gone, (F.col("at_") == F.col("of_")) & (F.col("hash_") == F.col("of_hash_")), "left")
-    lines = F.split(F.col("text").cast("string"), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
-    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.get(lines, k)), "\n"))
+    #: A column of its own: within the lambda below the text would be split again for each line.
+    out = out.withColumn("lines_", F.when(F.col("removed").isNotNull(), F.split(F.col("text").cast("string"), "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines_") - 1), F.col("removed"))
+    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda k: F.get("lines_", k)), "\n"))
     return out.withColumn("kept_", kept).withColumn("removed_", F.coalesce("removed", F.array().cast("array<int>")))
 
 

@@ -324,3 +324,11 @@ def test_pipeline(spark, tmp_path):
     assert len(rows) > seen[0] >= seen[1] >= seen[2] > 0
     out = corpus_pipeline.run(spark, str(folder)).collect()
     assert {r.doc_id for r in out} == {r.doc_id for r in docs.collect()}
+
+
+def test_rewriting_a_text_of_many_lines_takes_linear_time(spark):
+    from sedgewire.llm.line_dedup import dedup_lines
+
+    text = "\n".join(["said twice"] * 2 + [f"line {k} stands alone" for k in range(40_000)])
+    (row,) = dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert row.removed == [1] and row.kept_text == text.removeprefix("said twice\n")
