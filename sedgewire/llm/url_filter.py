@@ -1,11 +1,12 @@
 """URL filters by rules and by a tree of path templates, in DataFrame operations only.
 
 Host rules come first, the longest that fits wins. For the other urls each host has a tree of path templates:
-segments that look variable (numbers, dates, hexadecimal, identifiers) become wildcards at once, and a place with
-more than FANOUT different segments under one parent becomes a wildcard too, level by level. Branches whose share of
-bad labels is statistically like their parent's (a two-proportion score under Z) are merged with it, so their labels
-are pooled; the others stand alone. A template is rejected if its smoothed purity, (bad + PRIOR * share of all) /
-(labelled + PRIOR), is over BAD.
+segments that look variable (numbers, dates, hexadecimal, identifiers) become wildcards at once. Then, level by level,
+the segments of a place whose share of bad labels is statistically apart from the place's (a two-proportion score over
+Z) stand alone, however many there are. The others, unlabelled ones too, pool their labels if these are apart from the
+place's, or else are judged by the place's. Where a place has more than FANOUT different segments, those others become
+one wildcard, so that their branches are merged below it too. A template is rejected if its smoothed purity, (bad +
+PRIOR * share of all) / (labelled + PRIOR), is over BAD.
 
 Everything works on the distinct templates, counted by partial aggregates; a host with a third of all urls is a few
 templates by then, or many that are dealt by (host, prefix). Segments from DEPTH on are one. Defined results: a null
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import stage
+from sedgewire.llm.common import if_small, stage
 
 FANOUT = 32
 DEPTH = 4
@@ -27,6 +28,8 @@ PRIOR = 4.0
 BAD = 0.5
 #: (verdict, rule): a host and all its subdomains, and how the path starts.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
+#: Stands for a wildcard within; no path has it.
+_ANY = "?"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -62,33 +65,45 @@ def template(path: Column) -> Column:
     return F.transform(segments, wild)
 
 
+def _differs(bad: Column, n: Column, of_bad: Column, of_n: Column) -> Column:
+    """Whether two shares of bad labels are statistically apart; without labels nothing is."""
+    both = (bad + of_bad) / (n + of_n)
+    spread = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / n + 1 / of_n))
+    return F.when((n > 0) & (of_n > 0), F.abs(bad / n - of_bad / of_n) > Z * spread).otherwise(F.lit(False))
+
+
 def template_tree(urls: DataFrame) -> DataFrame:
     """(host, raw, template, bad, labelled, purity): the distinct templates of urls (host, path, bad), where bad is 1, 0
-    or null for a url without a label. raw is the template before fanned-out places became wildcards."""
+    or null for a url without a label. raw is the template before segments of fanned-out places became wildcards."""
     seen = urls.select("host", template(F.col("path")).alias("raw"), "bad").groupBy("host", "raw")
-    tree = stage(seen.agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumn("template", F.col("raw")), "templates")
-    prefix = lambda d: F.array_join(F.slice("template", 1, d), "/")
-    part = lambda d: F.get("template", d)
-    for d in range(DEPTH):
-        fan = tree.where(F.size("template") > d).groupBy("host", prefix(d).alias("parent")).agg(F.approx_count_distinct(part(d)).alias("fan")).where(F.col("fan") > FANOUT)
-        wide = tree.withColumn("parent", prefix(d)).join(fan, ["host", "parent"], "left")
-        put = F.transform("template", lambda s, k: F.when((k == d) & F.col("fan").isNotNull(), F.lit("*")).otherwise(s))  # noqa: B023
-        tree = wide.withColumn("template", put).drop("parent", "fan")
-    tree = stage(tree, "tree")
-
+    tree = stage(seen.agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumn("template", F.col("raw")), "templates")
     whole = tree.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("share"))
-    pooled = tree.withColumn("pool_bad", F.lit(0.0)).withColumn("pool_n", F.lit(0.0))
-    for d in range(DEPTH + 1):
-        own = tree.where(F.size("template") >= d).groupBy("host", prefix(d).alias("node")).agg(F.sum("bad").alias("node_bad"), F.sum("labelled").alias("node_n"))
-        pooled = pooled.withColumn("node", F.when(F.size("template") >= d, prefix(d))).join(own, ["host", "node"], "left")
-        both = (F.col("node_bad") + F.col("pool_bad")) / (F.col("node_n") + F.col("pool_n"))
-        spread = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / F.col("node_n") + 1 / F.col("pool_n")))
-        apart = F.abs(F.col("node_bad") / F.col("node_n") - F.col("pool_bad") / F.col("pool_n")) > Z * spread
-        alone = F.lit(d == 0) | (F.col("node_n") > 0) & ((F.col("pool_n") == 0) | F.when((F.col("node_n") > 0) & (F.col("pool_n") > 0), apart))
-        take = lambda mine, theirs: F.when(F.col("node_n").isNotNull() & alone, F.col(mine).cast("double")).otherwise(F.col(theirs))  # noqa: E731, B023
-        pooled = pooled.withColumns({"pool_bad": take("node_bad", "pool_bad"), "pool_n": take("node_n", "pool_n")}).drop("node", "node_bad", "node_n")
+    hosts = stage(tree.groupBy("host").agg(F.sum("bad").alias("pool_bad"), F.sum("labelled").alias("pool_n"), F.count("*").alias("held")), "hosts")
+
+    #: Level by level; pool is what a row's place is judged by so far, held its number of templates.
+    left, done = tree.join(if_small(hosts), "host"), []
+    place, pool = ["host", "parent"], ["pool_bad", "pool_n"]
+    for d in range(DEPTH):
+        done.append(left.where(F.size("template") <= d))
+        rows = left.where(F.size("template") > d).withColumns({"parent": F.array_join(F.slice("template", 1, d), "/"), "part": F.get("template", F.lit(d))})
+        nodes = rows.groupBy(*place, "part").agg(F.sum("bad").alias("node_bad"), F.sum("labelled").alias("node_n"), F.count("*").alias("node_held"), *(F.max(c).alias(f"of_{c}") for c in (*pool, "held")))
+        #: A segment that has all of its place is the place itself, judged already.
+        alone = (F.col("node_held") < F.col("of_held")) & _differs(F.col("node_bad"), F.col("node_n"), F.col("of_pool_bad"), F.col("of_pool_n"))
+        nodes = stage(nodes.withColumn("alone", alone), "nodes")
+        rest = [F.sum(F.when(F.col("alone"), 0).otherwise(F.col(f"node_{c}"))).alias(f"rest_{c}") for c in ("bad", "n", "held")]
+        places = stage(nodes.groupBy(*place).agg(F.count("*").alias("fan"), *rest), "places")
+        both = nodes.join(if_small(places), place)
+        wild = (F.col("fan") > FANOUT) & ~F.col("alone")
+        parted = (F.col("rest_held") < F.col("of_held")) & _differs(F.col("rest_bad"), F.col("rest_n"), F.col("of_pool_bad"), F.col("of_pool_n"))
+        take = lambda c: F.when(F.col("alone"), F.col(f"node_{c}")).when(parted, F.col(f"rest_{c}")).otherwise(F.col(f"of_pool_{c}"))  # noqa: E731, B023
+        both = both.select(*place, "part", wild.alias("wild"), take("bad").alias("pool_bad"), take("n").alias("pool_n"), F.when(wild, F.col("rest_held")).otherwise(F.col("node_held")).alias("held"))
+        put = F.transform("template", lambda s, k: F.when((k == d) & F.col("wild"), F.lit(_ANY)).otherwise(s))  # noqa: B023
+        left = stage(rows.drop(*pool, "held").join(both, [*place, "part"]).withColumn("template", put).select(*left.columns), "tree")
+    for part in done:
+        left = left.unionByName(part)
+    shown = F.array_join(F.transform("template", lambda s: F.when(s == _ANY, F.lit("*")).otherwise(s)), "/")
     purity = (F.col("pool_bad") + PRIOR * F.col("share")) / (F.col("pool_n") + PRIOR)
-    return pooled.join(F.broadcast(whole), F.lit(True)).select("host", "raw", F.array_join("template", "/").alias("template"), "bad", "labelled", purity.alias("purity"))
+    return left.join(F.broadcast(whole), F.lit(True)).select("host", "raw", shown.alias("template"), "bad", "labelled", purity.alias("purity"))
 
 
 def filtered(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:

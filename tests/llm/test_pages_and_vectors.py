@@ -113,3 +113,21 @@ def test_url_templates(spark):
     got = {r.page_id: r for r in url_filter.filtered(df, labels).collect()}
     assert {got[k].verdict for k in range(50)} == {"block"} and {got[100 + k].verdict for k in range(50)} == {"allow"}
     assert got[0].template == "spam/{n}" and got[100].template == "good/{n}.html" and got[200].template == "tag/*/z"
+
+
+def sections(n, more=0):
+    """Verdicts of the urls of n sections, one all bad, under a host; more sections have no labels."""
+    part = lambda k: f"{chr(97 + k // 26)}{chr(97 + k % 26)}"
+    rows = [(k * 1000 + i, f"http://h.com/{part(k)}/{i}") for k in range(n) for i in range(100 if k == 7 else 3)]
+    labels = [(u, int(p // 1000 == 7)) for p, u in rows]
+    return rows + [(k * 1000, f"http://h.com/{part(k)}/0") for k in range(n, n + more)], labels
+
+
+@pytest.mark.parametrize("n, more", [(32, 0), (32, 1), (33, 0), (40, 30)])
+def test_bad_sections_stand_apart_whatever_the_fan_out(spark, n, more):
+    rows, labels = sections(n, more)
+    got = url_filter.filtered(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "url string, bad int")).collect()
+    verdicts = {(r.page_id // 1000 == 7, r.verdict) for r in got if r.page_id < n * 1000}
+    assert verdicts == {(True, "block"), (False, "allow")}
+    assert {r.template for r in got if r.page_id // 1000 == 7} == {"ah/{n}"}
+    assert {r.template for r in got if r.page_id == 0} == {"aa/{n}" if n + more <= 32 else "*/{n}"}
