@@ -9,7 +9,8 @@ one wildcard, so that their branches are merged below it too. A template is reje
 PRIOR * share of all) / (labelled + PRIOR), is over BAD.
 
 Everything works on the distinct templates, counted by partial aggregates; a host with a third of all urls is a few
-templates by then, or many that are dealt by (host, prefix). Segments from DEPTH on are one. Defined results: a null
+templates by then, or many that are dealt by (host, prefix). Levels go on as deep as there is anything to part: a template that has a place to itself is done, as
+are places without labels and of too few templates for a wildcard. Defined results: a null
 url or one without `://` has an empty host and path; urls of an unlabelled tree are allowed; extra columns are
 ignored; an empty table gives an empty result.
 """
@@ -22,7 +23,6 @@ from pyspark.sql import functions as F
 from sedgewire.llm.common import if_small, stage
 
 FANOUT = 32
-DEPTH = 4
 Z = 1.96
 PRIOR = 4.0
 BAD = 0.5
@@ -52,8 +52,8 @@ def ruled(host: Column, path: Column, rules=RULES) -> Column:
 
 
 def template(path: Column) -> Column:
-    """The path's segments, variable ones as wildcards; those from DEPTH on as one."""
-    segments = F.slice(F.split(F.regexp_replace(path, r"^/|/$", ""), "/"), 1, DEPTH)
+    """The path's segments, all of them, variable ones as wildcards."""
+    segments = F.split(F.regexp_replace(path, r"^/|/$", ""), "/")
     wild = lambda s: (
         F.when(s.rlike(r"^\d{4}-\d{1,2}(-\d{1,2})?$"), F.lit("{date}"))
         .when(s.rlike(r"^\d+$"), F.lit("{n}"))
@@ -78,14 +78,20 @@ def template_tree(urls: DataFrame) -> DataFrame:
     seen = urls.select("host", template(F.col("path")).alias("raw"), "bad").groupBy("host", "raw")
     tree = stage(seen.agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumn("template", F.col("raw")), "templates")
     whole = tree.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("share"))
-    hosts = stage(tree.groupBy("host").agg(F.sum("bad").alias("pool_bad"), F.sum("labelled").alias("pool_n"), F.count("*").alias("held")), "hosts")
+    hosts = stage(tree.groupBy("host").agg(F.sum("bad").alias("pool_bad"), F.sum("labelled").alias("pool_n"), F.count("*").alias("held"), (F.sum("labelled") > 0).alias("labels")), "hosts")
 
     #: Level by level; pool is what a row's place is judged by so far, held its number of templates.
     left, done = tree.join(if_small(hosts), "host"), []
     place, pool = ["host", "parent"], ["pool_bad", "pool_n"]
-    for d in range(DEPTH):
-        done.append(left.where(F.size("template") <= d))
-        rows = left.where(F.size("template") > d).withColumns({"parent": F.array_join(F.slice("template", 1, d), "/"), "part": F.get("template", F.lit(d))})
+    d = 0
+    while True:
+        #: What is alone in its place, or neither labelled there nor numerous enough for a wildcard, has nothing to part.
+        more = (F.size("template") > d) & ((F.col("held") > FANOUT) | (F.col("held") > 1) & F.col("labels"))
+        done.append(left.where(~more))
+        left = left.where(more)
+        if left.isEmpty():
+            break
+        rows = left.withColumns({"parent": F.array_join(F.slice("template", 1, d), "/"), "part": F.get("template", F.lit(d))})
         nodes = rows.groupBy(*place, "part").agg(F.sum("bad").alias("node_bad"), F.sum("labelled").alias("node_n"), F.count("*").alias("node_held"), *(F.max(c).alias(f"of_{c}") for c in (*pool, "held")))
         #: A segment that has all of its place is the place itself, judged already.
         alone = (F.col("node_held") < F.col("of_held")) & _differs(F.col("node_bad"), F.col("node_n"), F.col("of_pool_bad"), F.col("of_pool_n"))
@@ -96,9 +102,11 @@ def template_tree(urls: DataFrame) -> DataFrame:
         wild = (F.col("fan") > FANOUT) & ~F.col("alone")
         parted = (F.col("rest_held") < F.col("of_held")) & _differs(F.col("rest_bad"), F.col("rest_n"), F.col("of_pool_bad"), F.col("of_pool_n"))
         take = lambda c: F.when(F.col("alone"), F.col(f"node_{c}")).when(parted, F.col(f"rest_{c}")).otherwise(F.col(f"of_pool_{c}"))  # noqa: E731, B023
-        both = both.select(*place, "part", wild.alias("wild"), take("bad").alias("pool_bad"), take("n").alias("pool_n"), F.when(wild, F.col("rest_held")).otherwise(F.col("node_held")).alias("held"))
+        of_node = lambda c: F.when(wild, F.col(f"rest_{c}")).otherwise(F.col(f"node_{c}"))  # noqa: E731, B023
+        both = both.select(*place, "part", wild.alias("wild"), take("bad").alias("pool_bad"), take("n").alias("pool_n"), of_node("held").alias("held"), (of_node("n") > 0).alias("labels"))
         put = F.transform("template", lambda s, k: F.when((k == d) & F.col("wild"), F.lit(_ANY)).otherwise(s))  # noqa: B023
-        left = stage(rows.drop(*pool, "held").join(both, [*place, "part"]).withColumn("template", put).select(*left.columns), "tree")
+        left = stage(rows.drop(*pool, "held", "labels").join(both, [*place, "part"]).withColumn("template", put).select(*left.columns), "tree")
+        d += 1
     for part in done:
         left = left.unionByName(part)
     shown = F.array_join(F.transform("template", lambda s: F.when(s == _ANY, F.lit("*")).otherwise(s)), "/")

@@ -131,3 +131,11 @@ def test_bad_sections_stand_apart_whatever_the_fan_out(spark, n, more):
     assert verdicts == {(True, "block"), (False, "allow")}
     assert {r.template for r in got if r.page_id // 1000 == 7} == {"ah/{n}"}
     assert {r.template for r in got if r.page_id == 0} == {"aa/{n}" if n + more <= 32 else "*/{n}"}
+
+
+def test_deep_branches_are_told_apart(spark):
+    rows = [(k, f"http://h.com/de/a/b/c/{'spam' if k % 2 else 'news'}/x/y/{k}") for k in range(60)] + [(100, "http://h.com/de/a/b/c"), (101, "http://h.com/de/a/b/c/news/x/y/z/1/2/w/v")]
+    labels = [(u, k % 2) for k, u in rows[:40]]
+    got = {r.page_id: r for r in url_filter.filtered(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "url string, bad int")).collect()}
+    assert all(got[k].verdict == ("block" if k % 2 else "allow") for k in range(60)) and got[101].verdict == "allow"
+    assert (got[1].template, got[2].template, got[100].template, got[101].template) == ("de/a/b/c/spam/x/y/{n}", "de/a/b/c/news/x/y/{n}", "de/a/b/c", "de/a/b/c/news/x/y/z/{n}/{n}/w/v")
