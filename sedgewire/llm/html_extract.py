@@ -3,9 +3,9 @@
 A page is read once, leniently, into blocks: runs of text between block-level tags, each with the path of open
 block elements above it. Per path the lengths and punctuation of its blocks are summed; the ratio of a path is
 its text per block, raised by punctuation and lowered by links. Ratios are smoothed over neighbouring blocks in page
-order and fused with the path's own; paths above the threshold are content. The content node is the article
-or main element that holds most of their text, or else the lowest element that holds nearly all of it; every block
-within it that is not page furniture is kept, short ones too.
+order and fused with the path's own; paths above the threshold are content. The content node is the common ancestor
+of all of it, or of the outermost article and main elements that hold it; every block within it that is not page
+furniture is kept, short ones too. So are the headline before it, what stands between, and paragraphs beside it.
 
 Furniture is told by tag (nav, aside, footer, form ...), role and the words of class and id (FURNITURE below).
 Defined results: a null or empty html has an empty text; so has a page without blocks of text; unclosed and
@@ -31,6 +31,8 @@ RAW = frozenset("script style textarea title noscript iframe xmp noembed noframe
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img picture".split())
 DROPPED = frozenset("nav aside footer form menu dialog head fieldset datalist".split())
 ROOTS = frozenset(("article", "main"))
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+TEXT = HEADINGS | frozenset("p pre blockquote li dt dd".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("thead", "tbody", "tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 SCOPES = frozenset("ul ol dl table article main section div body html".split())
@@ -215,36 +217,53 @@ def main_blocks(found: list[Block]) -> list[Block]:
     threshold = 0.5 * sum(score[b.at.path] * b.chars for b in some) / weight
     content = [b for b in some if score[b.at.path] >= threshold]
 
-    held: dict[int, int] = {}
-    nodes: dict[int, Element] = {}
-    total = 0
-    for b in content:
-        total += b.chars
-        e: Element | None = b.at
+    def above(e: Element | None) -> list[Element]:
+        """The element and those above it, the page's first."""
+        out = []
         while e is not None:
-            held[e.number] = held.get(e.number, 0) + b.chars
-            nodes[e.number] = e
+            out.append(e)
             e = e.up
-    roots = [n for n, e in nodes.items() if e.name in ROOTS and held[n] >= 0.3 * total]
+        return out[::-1]
+
+    #: Of the roots that hold content the outermost; main, where it holds much of it, says itself what is main.
+    total, mains, roots = sum(b.chars for b in content), {}, {}
+    for b in content:
+        chain = above(b.at)
+        if e := next((e for e in chain if e.name in ROOTS), None):
+            roots[e.number] = roots.get(e.number, 0) + b.chars
+        if e := next((e for e in chain if e.name == "main"), None):
+            mains[e.number] = mains.get(e.number, 0) + b.chars
+    roots = mains if sum(mains.values()) >= 0.3 * total else roots if sum(roots.values()) >= 0.3 * total else {}
+    chains = [above(b.at) for b in content]
     if roots:
-        #: Of nested roots the innermost that still holds most of what the outer holds.
-        best = max(held[n] for n in roots)
-        root = max(n for n in roots if held[n] >= 0.8 * best)
-    else:
-        root = max((n for n in held if held[n] >= 0.9 * total), default=0)
-        while nodes[root].name in ("p", "pre", "blockquote", "li", "h1", "h2", "h3") and nodes[root].up is not None:
-            root = nodes[root].up.number
-
-    def within(e: Element | None) -> bool:
-        while e is not None and e.number != root:
-            e = e.up
-        return e is not None
+        chains = [c[: k + 1] for c in chains for k, e in enumerate(c) if e.number in roots]
+    shared = 0
+    while all(len(c) > shared for c in chains) and len({c[shared].number for c in chains}) == 1:
+        shared += 1
+    path = chains[0][:shared]
+    while path[-1].name in TEXT and len(path) > 1:
+        path.pop()
+    root, over = path[-1].number, {e.number for e in path}
 
-    out = [b for b in some if within(b.at)]
-    if nodes[root].name in ROOTS:
-        return out
     linked = {p for p, (chars, _, links, _n) in sums.items() if links > 0.6 * chars}
-    return [b for b in out if b.at.path not in linked]
+    chain_of = [above(b.at) for b in some]
+    inside = [any(e.number == root for e in c) for c in chain_of]
+    start, end = inside.index(True), len(inside) - 1 - inside[::-1].index(True)
+    beside = lambda k: some[k].at.name in TEXT and some[k].at.up is not None and some[k].at.up.number in over
+    level = lambda k: int(some[k].at.name[1]) if some[k].at.name in HEADINGS else 9
+    first = start
+    while first > 0 and beside(first - 1):
+        first -= 1
+    #: The headline stands before the body, with a byline or a lead between, unless the body has one as high.
+    top = min((level(k) for k in range(first) if some[k].at.path not in linked), default=9)
+    if top < min(level(k) for k in range(first, end + 1)):
+        first = max(k for k in range(first) if level(k) == top and some[k].at.path not in linked)
+    while end + 1 < len(some) and len(path) > 2 and beside(end + 1) and some[end + 1].at.up is path[-2]:
+        end += 1
+    #: Link lists go, but for those within an article or a main element without articles.
+    has_article = any(e.name == "article" and i for c, i in zip(chain_of, inside, strict=True) for e in c)
+    own = lambda c: any(e.name == "article" or e.name == "main" and not has_article for e in c)
+    return [b for k, b in enumerate(some) if first <= k <= end and (b.at.path not in linked or own(chain_of[k]))]
 
 
 def main_text(page: str | None) -> str:

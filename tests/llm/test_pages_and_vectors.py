@@ -139,3 +139,19 @@ def test_deep_branches_are_told_apart(spark):
     got = {r.page_id: r for r in url_filter.filtered(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "url string, bad int")).collect()}
     assert all(got[k].verdict == ("block" if k % 2 else "allow") for k in range(60)) and got[101].verdict == "allow"
     assert (got[1].template, got[2].template, got[100].template, got[101].template) == ("de/a/b/c/spam/x/y/{n}", "de/a/b/c/news/x/y/{n}", "de/a/b/c", "de/a/b/c/news/x/y/z/{n}/{n}/w/v")
+
+
+LONG = "A sentence of the body, that goes on for a while, and ends. " * 12
+BODY = LONG.strip()
+WHOLE_PAGES = [
+    (f"<div class=post><h1>Title</h1><p>Lead.</p><div class=entry><p>{LONG}</p><p>{LONG}</p></div></div>", f"Title\nLead.\n{BODY}\n{BODY}"),
+    (f"<div class=logo>Site</div><div class=top><h1>Title</h1><div class=by>By A. B.</div></div><div class=entry><h2>Part</h2><p>{LONG}</p><p>{LONG}</p></div>", f"Title\nBy A. B.\nPart\n{BODY}\n{BODY}"),
+    (f"<main><h1>Title</h1><p>Intro, not long.</p><article><p>{LONG}</p></article></main>", f"Title\nIntro, not long.\n{BODY}"),
+    (f"<div><article><h2>One</h2><p>{LONG}</p></article><article><h2>Two</h2><p>{LONG}</p></article></div>", f"One\n{BODY}\nTwo\n{BODY}"),
+    (f"<h1>Title</h1><article><p>{LONG}</p></article><div><a href=/x>Other things to read elsewhere</a></div>", f"Title\n{BODY}"),
+]
+
+
+@pytest.mark.parametrize("page, text", WHOLE_PAGES)
+def test_headlines_leads_and_all_parts_are_kept(page, text):
+    assert html_extract.main_text(page) == text
