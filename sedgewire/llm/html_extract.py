@@ -7,7 +7,9 @@ order and fused with the path's own; paths above the threshold are content. The
 of all of it, or of the outermost article and main elements that hold it; every block within it that is not page
 furniture is kept, short ones too. So are the headline before it, what stands between, and paragraphs beside it.
 
-Furniture is told by tag (nav, aside, footer, form ...), role and the words of class and id (FURNITURE below).
+Furniture is told by tag (nav, aside, footer, form ...), role, and classes and ids all of whose words are in FURNITURE
+below (ids of headings and sections tell nothing). With one such word among others an element does not count for the
+content node, and within it goes only if its text is mostly links or its ratio is low.
 Defined results: a null or empty html has an empty text; so has a page without blocks of text; unclosed and
 misnested tags are closed as browsers do; rows that repeat a page_id are extracted each; extra columns are ignored.
 """
@@ -54,12 +56,14 @@ _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("drop", "inside", "name", "number", "path", "up")
+    __slots__ = ("drop", "inside", "name", "number", "path", "soft", "up")
 
-    def __init__(self, name: str, up: Element | None, number: int, drop: bool, label: str):
+    def __init__(self, name: str, up: Element | None, number: int, drop: bool, soft: bool, label: str):
         self.name, self.up, self.number = name, up, number
         self.inside = name in ROOTS or up is not None and up.inside
         self.drop = drop or up is not None and up.drop
+        #: The elements here and above that bear a furniture word among others.
+        self.soft: tuple[int, ...] = (up.soft if up else ()) + ((number,) if soft else ())
         self.path = (up.path if up else "") + "/" + name + label
 
 
@@ -70,27 +74,31 @@ class Block:
         self.at, self.text, self.chars, self.links = at, text, len(text), links
 
 
-def _is_furniture(name: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    """Whether a start tag opens furniture, and its class for the path."""
+def _is_furniture(name: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether a start tag opens furniture; whether it may, by one word among others; and its class for the path."""
     if name in DROPPED or name == "header" and not inside:
-        return True, ""
+        return True, False, ""
     if not attributes.strip():
-        return False, ""
+        return False, False, ""
     found = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(attributes)}
+    soft = False
     if name not in _NEVER:
         if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _HIDES.search(found.get("style", "")) or found.get("role", "").lower() in ROLES:
-            return True, ""
-        words = {w.lower() for w in _WORDS.findall(found.get("class", "") + " " + found.get("id", ""))}
-        if words & FURNITURE:
-            return True, ""
+            return True, False, ""
+        #: The ids of headings and sections are made from their text.
+        for token in (found.get("class", "") + " " + ("" if name in HEADINGS or name == "section" else found.get("id", ""))).split():
+            words = {w.lower() for w in _WORDS.findall(token) if not w.isdigit()}
+            if words and words <= FURNITURE:
+                return True, False, ""
+            soft = soft or bool(words & FURNITURE)
     first = found.get("class", "").split()
-    return False, "." + first[0] if first else ""
+    return False, soft, "." + first[0] if first else ""
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of text of a page, in order, furniture marked."""
     out: list[Block] = []
-    top = Element("html", None, 0, False, "")
+    top = Element("html", None, 0, False, False, "")
     stack, held, count, links, link_chars = [top], [], 0, 0, 0
     inline_drop = 0
     dropped_inline: list[str] = []
@@ -190,17 +198,21 @@ def blocks(page: str) -> list[Block]:
                 elif stack[k].name in SCOPES:
                     break
         count += 1
-        drop, label = _is_furniture(name, attributes, stack[-1].inside)
-        stack.append(Element(name, stack[-1], count, drop, label))
+        drop, soft, label = _is_furniture(name, attributes, stack[-1].inside)
+        stack.append(Element(name, stack[-1], count, drop, soft, label))
     flush()
     return out
 
 
 def main_blocks(found: list[Block]) -> list[Block]:
     """The blocks of the content node, by tag-path ratios."""
-    some = [b for b in found if not b.at.drop]
-    if not some:
+    everything = [b for b in found if not b.at.drop]
+    if not everything:
         return []
+    some = [b for b in everything if not b.at.soft]
+    #: Where most of the text is below such words, they say nothing.
+    if 2 * sum(b.chars - b.links for b in some) < sum(b.chars - b.links for b in everything) or not some:
+        some = everything
     sums: dict[str, list[int]] = {}
     for b in some:
         own = sums.setdefault(b.at.path, [0, 0, 0, 0])
@@ -245,6 +257,21 @@ def main_blocks(found: list[Block]) -> list[Block]:
         path.pop()
     root, over = path[-1].number, {e.number for e in path}
 
+    #: In the node an element that may be furniture is, if its text is mostly links or its paths' ratio is low.
+    if len(some) < len(everything):
+        of: dict[int, list[float]] = {}
+        for b in everything:
+            for n in b.at.soft:
+                own = of.setdefault(n, [0, 0, 0, 0])
+                for k, v in enumerate((b.chars, len(_PUNCT.findall(b.text)), b.links, 1)):
+                    own[k] += v
+        passed = {n for n, (chars, punct, links, k) in of.items() if links <= 0.3 * chars and log1p((chars - links) / k) * (1 + log1p(punct / k)) >= threshold}
+        some = [b for b in everything if not b.at.soft or all(n in passed for n in b.at.soft) and any(e.number == root for e in above(b.at))]
+        sums = {}
+        for b in some:
+            own = sums.setdefault(b.at.path, [0, 0, 0, 0])
+            own[0], own[2] = own[0] + b.chars, own[2] + b.links
+
     linked = {p for p, (chars, _, links, _n) in sums.items() if links > 0.6 * chars}
     chain_of = [above(b.at) for b in some]
     inside = [any(e.number == root for e in c) for c in chain_of]

@@ -155,3 +155,12 @@ WHOLE_PAGES = [
 @pytest.mark.parametrize("page, text", WHOLE_PAGES)
 def test_headlines_leads_and_all_parts_are_kept(page, text):
     assert html_extract.main_text(page) == text
+
+
+@pytest.mark.parametrize("shell", ["article", "div"])
+def test_topics_are_not_furniture(shell):
+    parts = ['<section id="legal-status"><h3>Law</h3>', '<section id="discussion"><h2 id="related-work">Work</h2>', '<div class="search-and-rescue">']
+    ends = ["</section>", "</section>", "</div>"]
+    page = f"<{shell}><h1 id='comments'>T</h1><p>{LONG}</p>" + "".join(f"{a}<p>{k} {LONG}</p>{e}" for k, (a, e) in enumerate(zip(parts, ends, strict=True)))
+    page += f"<div class='related-posts'><a href=/x>Another story of ours</a></div><div class='cookie-notice'><p>{LONG}</p></div><div class=share>Share this</div></{shell}>"
+    assert html_extract.main_text(page) == f"T\n{BODY}\nLaw\n0 {BODY}\nWork\n1 {BODY}\n2 {BODY}"
