@@ -11,7 +11,8 @@ Furniture is told by tag (nav, aside, footer, form ...), role, and classes and i
 below (ids of headings and sections tell nothing). With one such word among others an element does not count for the
 content node, and within it goes only if its text is mostly links or its ratio is low.
 Defined results: a null or empty html has an empty text; so has a page without blocks of text; unclosed and
-misnested tags are closed as browsers do; rows that repeat a page_id are extracted each; extra columns are ignored.
+misnested tags are closed as browsers do, and media, svg, buttons and the like (EMBEDDED) by the next tag that cannot be
+in them, so that no text after them is lost; rows that repeat a page_id are extracted each; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +30,12 @@ from sedgewire.llm.common import small_batches
 
 # Element names.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math object video audio canvas select button".split())
+RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
+EMBEDDED = frozenset("template svg math object video audio canvas select button".split())
+FOREIGN = frozenset(("svg", "math"))
+#: What opens in svg and math closes them, but for what stands in these.
+HOSTS = frozenset("foreignobject desc annotation-xml".split())
+BREAKS = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var article main section".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr img picture".split())
 DROPPED = frozenset("nav aside footer form menu dialog head fieldset datalist".split())
 ROOTS = frozenset(("article", "main"))
@@ -37,6 +43,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT = HEADINGS | frozenset("p pre blockquote li dt dd".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "thead": ("thead", "tbody", "tr", "td", "th"), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
+BLOCKS = CLOSES_P | ROOTS | frozenset(("li", "dt", "dd"))
 SCOPES = frozenset("ul ol dl table article main section div body html".split())
 # Roles, and words of class and id, of page furniture.
 ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
@@ -50,13 +57,14 @@ FURNITURE = frozenset(
 _NEVER = frozenset("html body article main".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([a-zA-Z][\w:-]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]++)))?")
+_EITHER = {name: re.compile(rf"</?{name}(?=[\s/>])", re.I) for name in EMBEDDED}
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 _PUNCT = re.compile(r"[.,;:!?…。,、؛،]")
 _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Element:
-    __slots__ = ("drop", "inside", "name", "number", "path", "soft", "up")
+    __slots__ = ("closed", "drop", "embedded", "inside", "name", "number", "path", "soft", "up")
 
     def __init__(self, name: str, up: Element | None, number: int, drop: bool, soft: bool, label: str):
         self.name, self.up, self.number = name, up, number
@@ -65,6 +73,9 @@ class Element:
         #: The elements here and above that bear a furniture word among others.
         self.soft: tuple[int, ...] = (up.soft if up else ()) + ((number,) if soft else ())
         self.path = (up.path if up else "") + "/" + name + label
+        #: Whether it is in an element of EMBEDDED or is one, and whether that has an end tag before the next of its kind.
+        self.embedded = up is not None and up.embedded
+        self.closed = True
 
 
 class Block:
@@ -115,16 +126,33 @@ def blocks(page: str) -> list[Block]:
 
     def text(part: str) -> None:
         nonlocal link_chars
-        if part and not inline_drop:
+        if part and not inline_drop and not stack[-1].embedded:
             part = html.unescape(part) if "&" in part else part
             held.append(part)
             if links:
                 link_chars += len(part.strip())
 
     def close_to(k: int) -> None:
+        leave(k)
         flush()
         del stack[k:]
 
+    def leave(k: int) -> None:
+        """Closes what is embedded from k on; the text around it goes on."""
+        for e in range(k, len(stack)):
+            if stack[e].embedded:
+                del stack[e:]
+                break
+
+    def breaks(name: str) -> bool:
+        """Whether a start tag ends what is embedded here: as browsers do in svg and math, and where an end tag is missing."""
+        for e in reversed(stack):
+            if not e.embedded or e.name in HOSTS:
+                break
+            if e.name in FOREIGN:
+                return name in BREAKS
+        return name in BLOCKS and not all(e.closed for e in stack)
+
     while True:
         if raw_until:
             end = re.compile(rf"</{re.escape(raw_until)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
@@ -144,6 +172,17 @@ def blocks(page: str) -> list[Block]:
                 text(m[0][9:].removesuffix("]]>"))
             continue
         name, closing, attributes = name.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
+        if stack[-1].embedded:
+            if closing:
+                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
+                if k and stack[k].embedded:
+                    del stack[k:]
+                    continue
+                if not k and (name not in INLINE or all(e.closed for e in stack)):
+                    continue
+                leave(0)
+            elif name not in RAW and (breaks(name) or name in ("button", "select") and any(e.name == name for e in stack)):
+                leave(0)
         if closing:
             if name in INLINE:
                 links -= name == "a" and links > 0
@@ -152,6 +191,8 @@ def blocks(page: str) -> list[Block]:
                     inline_drop -= 1
             elif name == "br":
                 flush()
+            elif name in EMBEDDED and all(e.name != name for e in stack):
+                continue
             elif name not in VOID:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].name == name:
@@ -164,8 +205,18 @@ def blocks(page: str) -> list[Block]:
                 dropped_inline.clear()
             continue
         if name in RAW:
-            if not attributes.rstrip().endswith("/") or name not in ("svg", "math"):
-                raw_until = name
+            raw_until = name
+            continue
+        if name in EMBEDDED or stack[-1].embedded:
+            #: In svg and math only what can hold other elements matters.
+            if name not in VOID and not attributes.rstrip().endswith("/") and (name in EMBEDDED or name in HOSTS or stack[-1].name not in FOREIGN):
+                count += 1
+                e = Element(name, stack[-1], count, True, False, "")
+                e.embedded = True
+                if name in EMBEDDED:
+                    other = _EITHER[name].search(page, at)
+                    e.closed = other is not None and other[0][1] == "/"
+                stack.append(e)
             continue
         if name in ("br", "hr"):
             flush()

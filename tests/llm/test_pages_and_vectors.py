@@ -164,3 +164,16 @@ def test_topics_are_not_furniture(shell):
     page = f"<{shell}><h1 id='comments'>T</h1><p>{LONG}</p>" + "".join(f"{a}<p>{k} {LONG}</p>{e}" for k, (a, e) in enumerate(zip(parts, ends, strict=True)))
     page += f"<div class='related-posts'><a href=/x>Another story of ours</a></div><div class='cookie-notice'><p>{LONG}</p></div><div class=share>Share this</div></{shell}>"
     assert html_extract.main_text(page) == f"T\n{BODY}\nLaw\n0 {BODY}\nWork\n1 {BODY}\n2 {BODY}"
+
+
+@pytest.mark.parametrize("open_", ["<button>Share", "<svg><path d='x'>", "<select><option>One", "<object>", "<math><mi>x", "<video src=x>", "<canvas>"])
+def test_what_is_not_closed_loses_nothing(open_):
+    for page in (f"<article><h1>T</h1><div>{open_}</div><p>{LONG}</p></article>", f"<div>{open_}</div><article><h1>T</h1><p>{LONG}</p></article>", f"{open_}<article><h1>T</h1><p>{LONG}</p></article>"):
+        assert html_extract.main_text(page) == f"T\n{BODY}", page
+    assert html_extract.main_text(f"<article><p>One {open_}</p><p>{LONG}</p></article>") == f"One\n{BODY}"
+
+
+def test_what_is_embedded_is_left_out():
+    inner = "<button class=x><div>Label</div> more</button><svg><title>t</title><g><text>x</text></g></svg><select><option>One<option>Two</select><video><p>No video</p></video>"
+    for one in (inner, "<button>a<br>b</button>", "<a href=x><svg><b>x</b></svg></a>", "<span><svg><path></span>", "<button><span>a</span><i>b</i></button>"):
+        assert html_extract.main_text(f"<article><p>One {one} two.</p><p>{LONG}</p>{inner}</article>") in (f"One two.\n{BODY}", f"One x two.\n{BODY}"), one
