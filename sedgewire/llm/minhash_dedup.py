@@ -12,8 +12,8 @@
    no pair within a bucket is left out, and what is listed is in proportion to the members.
 
 Defined results: null texts and texts without words are empty, link with nothing and are kept; repeated rows are
-one class; a null doc_id takes part, but its own row is not kept if its class has an id. Extra columns are
-ignored; an empty table gives an empty result.
+one class; a null doc_id takes part, but its own row is not kept if its component has an id. Extra columns are
+ignored; an empty table gives an empty result. near_documents says what is kept by id, keep_one decides by row.
 """
 
 from __future__ import annotations
@@ -109,7 +109,8 @@ def _sign(width: int):
                 size.append(len(values))
                 key.append(set_key(values) if len(values) else None)
                 sig.append(signature(values).tobytes() if len(values) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["rid", "doc_id", "size", "key", "sig"])
+            names = ["rid", "doc_id", "size", "key", "sig", *batch.schema.names[3:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(size, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), *batch.columns[3:]], names)
 
     return run
 
@@ -178,12 +179,13 @@ def _beside(pairs: DataFrame, values: DataFrame) -> DataFrame:
     return pairs.join(to_a, "a").join(to_b, "b").select("a", "b", "x", "y")
 
 
-def near_documents(documents: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of documents (doc_id, text)."""
+def _linked(documents: DataFrame, percent: int, width: int, *marks: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, size, key, *marks) for each row of documents (doc_id, text, *marks; marks are long), key null for an empty
+    one; and (key, root, head) for each class: the node that names its component, and the component's least id."""
     small_batches(documents.sparkSession)
     least = least_matches(percent / 100)
-    rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = stage(rows.mapInArrow(_sign(width), "rid long, doc_id long, size long, key binary, sig binary"), "signed")
+    rows = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long"), F.col("text").cast("string"), *marks)
+    signed = stage(rows.mapInArrow(_sign(width), ", ".join(["rid long, doc_id long, size long, key binary, sig binary", *(f"{m} long" for m in marks)])), "signed")
     classes = stage(signed.where("key is not null").groupBy("key").agg(F.min("rid").alias("node"), F.min("doc_id").alias("first"), F.max("size").alias("size")), "classes")
     copies = stage(signed.select("rid", "key").join(classes.select("key", "node"), "key").where("rid <> node").select("rid"), "copies")
     sigs = signed.where("key is not null").join(if_small(copies), "rid", "left_anti").select(F.col("rid").alias("node"), "sig")
@@ -238,15 +240,36 @@ def near_documents(documents: DataFrame, percent: int = 85, width: int = WIDTH)
             roots = components(links.union(more))
 
     heads = roots.join(classes.select("node", "first"), "node").groupBy("root").agg(F.min("first").alias("head"))
-    headed = roots.join(heads, "root").select("node", "head")
-    of_class = classes.join(headed, "node", "left").select("key", F.coalesce("head", "first").alias("head"))
-    out = signed.select("doc_id", "size", "key").join(of_class, "key", "left")
+    headed = roots.join(heads, "root").select("node", "root", "head")
+    of_class = classes.join(headed, "node", "left").select("key", F.coalesce("root", "node").alias("root"), F.coalesce("head", "first").alias("head"))
+    return signed.select("doc_id", "size", "key", *marks), of_class
+
+
+def near_documents(documents: DataFrame, percent: int = 85, width: int = WIDTH) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of documents (doc_id, text)."""
+    signed, of_class = _linked(documents, percent, width)
+    out = signed.join(of_class.select("key", "head"), "key", "left")
     component = F.coalesce("head", "doc_id")
     return out.select("doc_id", F.col("size").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
 
 def keep_one(documents: DataFrame, percent: int = 85) -> DataFrame:
-    """documents without those whose near copy with a smaller id stays. Rows that repeat a doc_id stay or go together."""
-    gone = stage(near_documents(documents, percent).where("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    own, back = guarded(documents, "doc_id")
-    return own.join(if_small(gone), F.col("doc_id") == F.col("gone"), "left_anti").select(*back)
+    """One row of each component of documents, and those without words. The row with the least doc_id stays, a null one
+    last; of several with that id the one with the least hash of its columns; of equal rows any one."""
+    own, back = guarded(documents, "doc_id", "text")
+    cols = [F.col(f.name) for f in own.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    marks = ["mark1_", "mark2_"]
+    #: A hash passes over nulls, so where they are is hashed too.
+    own = own.withColumns({m: F.xxhash64(F.lit(m), *cols, *(c.isNull() for c in cols)) for m in marks})
+    signed, of_class = _linked(own, percent, WIDTH, *marks)
+    rows = signed.where("key is not null").join(of_class.select("key", "root"), "key").groupBy("root", "doc_id", *marks).agg(F.count("*").alias("n"))
+    rows = stage(rows.select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *marks).alias("row"), "n"), "rows")
+    best = stage(rows.groupBy("root").agg(F.min("row").alias("best"), F.sum("n").alias("all")).where(F.col("all") > 1).drop("all"), "best")
+    judged = stage(rows.join(if_small(best), "root").select(*(F.col("row")[m].alias(f"of_{m}") for m in marks), (F.col("row") == F.col("best")).alias("best"), "n"), "judged")
+    gone = stage(judged.where("not best or n > 1"), "gone")
+    same = [F.col(m) == F.col(f"of_{m}") for m in marks]
+    stay = own.join(if_small(gone), same, "left_anti")
+    repeated = stage(gone.where("best"), "repeated")
+    if not repeated.isEmpty():
+        stay = stay.unionByName(own.join(if_small(repeated), same, "left_semi").dropDuplicates(marks))
+    return stay.select(*back)

@@ -111,6 +111,17 @@ def test_keep_one(spark, docs):
     assert {r.doc_id for r in kept.collect()} == want
 
 
+def test_keep_one_keeps_one_row_of_each_component(spark):
+    text = [" ".join(f"{t}{k}" for k in range(60)) for t in "abcde"]
+    near = text[0].replace("a59", "z")
+    rows = [(None, text[0], "en"), (None, text[0], "en"), (None, near, "en"), (None, text[1], "en"), (7, text[1], "en"), (7, text[2], "en"), (9, text[2], "en"), (9, text[3], None), (8, text[4], "de"), (8, text[4], "de"), (8, text[4].upper(), "en"), (None, "", "en"), (None, "", "en"), (6, None, "en")]
+    for order in (rows, rows[::-1]):
+        got = [(r.doc_id, (r.text or "").lower()) for r in minhash_dedup.keep_one(spark.createDataFrame(order, "doc_id long, text string, lang string").repartition(3)).collect()]
+        first = [x for x in got if x[0] is None and x[1]]
+        assert len(first) == 1 and first[0][1] in (text[0], near)
+        assert Counter(x for x in got if x not in first) == Counter([(7, text[1]), (7, text[2]), (9, text[3]), (8, text[4]), (None, ""), (None, ""), (6, "")])
+
+
 def test_shingles_of_long_texts_are_whole(monkeypatch):
     raw = " ".join(str(k) for k in range(3000)).encode()
     whole = common.shingles(raw)
