@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows (of a few longs each) up to which a counted table is broadcast; above it the join shuffles.
-BROADCAST_ROWS = 500_000
+#: Bytes, counted rows times the width of their types, up to which a table is broadcast; above it the join shuffles.
+BROADCAST_BYTES = 24 << 20
+#: Rows of a group that a running sum takes in one task; it then sums their sums.
+RUN = 4096
 #: Bytes an Arrow batch may hold before the next one starts: texts are kilobytes, some of them hundreds.
 ARROW_BYTES = 4 << 20
 #: A word is a run of anything but ASCII white space.
@@ -22,14 +26,20 @@ U = np.uint64
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps the Arrow batches of long texts small in JVM and Python alike."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """Keeps the Arrow batches of long texts small in JVM and Python alike. The setting is read when a plan runs, which
+    may be after we return, so it stays; a smaller one of the session's own is left."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(re.sub(r"\D", "", spark.conf.get(name, "")) or 1 << 62) > ARROW_BYTES or not spark.conf.get(name, "").isdigit():
+        spark.conf.set(name, str(ARROW_BYTES))
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where it is unset (tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, one of our own on this machine, which
+    only a local master may use: elsewhere each executor would write to a disk of its own."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not re.match(r"local(?:\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="sedgewire-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -65,9 +75,34 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a staged table of narrow rows for broadcast, if its counted rows allow it."""
-    return F.broadcast(df) if df.count() <= rows else df
+def row_bytes(kind: T.DataType) -> int:
+    """What a value takes in a row of the engine: a word each, and the bytes of fixed-length hashes and the like."""
+    if isinstance(kind, T.StructType):
+        return 16 + sum(row_bytes(f.dataType) for f in kind)
+    return 40 if isinstance(kind, (T.StringType, T.BinaryType, T.MapType, T.ArrayType)) else 8
+
+
+def if_small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Marks a staged table of narrow rows for broadcast, if its counted rows are at most so many bytes."""
+    return F.broadcast(df) if df.count() * row_bytes(df.schema) <= (BROADCAST_BYTES if most is None else most) else df
+
+
+def running(df: DataFrame, by: list[str], order: str, *values: str) -> DataFrame:
+    """df with before_<value>: the sum of each value over the rows of its group that come before by `order`, whole
+    numbers from 0. Runs of RUN numbers are summed first, so that no task holds more than a run or the sums of runs."""
+    rows = df.withColumn("run_", F.floor(F.col(order) / RUN))
+    sums = rows.groupBy(*by, "run_").agg(*(F.sum(v).alias(f"run_{v}") for v in values))
+    outer = Window.partitionBy(*by).orderBy("run_").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy(*by, "run_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(*by, "run_", *(F.coalesce(F.sum(f"run_{v}").over(outer), F.lit(0)).alias(f"run_{v}") for v in values))
+    rows = rows.select("*", *(F.coalesce(F.sum(v).over(inner), F.lit(0)).alias(f"in_{v}") for v in values)).join(sums, [*by, "run_"])
+    return rows.select(*df.columns, *((F.col(f"run_{v}") + F.col(f"in_{v}")).alias(f"before_{v}") for v in values))
+
+
+def row_marks(df: DataFrame, *names: str) -> DataFrame:
+    """df with these columns, hashes that tell its rows apart. A hash passes over nulls, so where they are is hashed too."""
+    cols = [F.col("`" + f.name.replace("`", "``") + "`") for f in df.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
+    return df.withColumns({m: F.xxhash64(F.lit(m), *cols, *(c.isNull() for c in cols)) for m in names})
 
 
 def guarded(df: DataFrame, *keep: str) -> tuple[DataFrame, list]:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import U, Union, components, guarded, if_small, mix64, shingles, small_batches, stage
+from sedgewire.llm.common import U, Union, components, guarded, if_small, mix64, row_marks, shingles, small_batches, stage
 
 WIDTH = 5
 BANDS, ROWS = 32, 5
@@ -257,10 +257,8 @@ def keep_one(documents: DataFrame, percent: int = 85) -> DataFrame:
     """One row of each component of documents, and those without words. The row with the least doc_id stays, a null one
     last; of several with that id the one with the least hash of its columns; of equal rows any one."""
     own, back = guarded(documents, "doc_id", "text")
-    cols = [F.col(f.name) for f in own.schema if not any(t in f.dataType.simpleString() for t in ("map<", "variant"))]
     marks = ["mark1_", "mark2_"]
-    #: A hash passes over nulls, so where they are is hashed too.
-    own = own.withColumns({m: F.xxhash64(F.lit(m), *cols, *(c.isNull() for c in cols)) for m in marks})
+    own = row_marks(own, *marks)
     signed, of_class = _linked(own, percent, WIDTH, *marks)
     rows = signed.where("key is not null").join(of_class.select("key", "root"), "key").groupBy("root", "doc_id", *marks).agg(F.count("*").alias("n"))
     rows = stage(rows.select("root", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *marks).alias("row"), "n"), "rows")

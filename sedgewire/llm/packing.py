@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sedgewire.llm.common import small_batches, stage
+from sedgewire.llm.common import running, small_batches, stage
 from sedgewire.llm.tokens import token_ids
 
 ROOM = 2048
@@ -176,8 +176,7 @@ def packed(documents: DataFrame, path: str, room: int = ROOM) -> DataFrame:
     buckets = spark.createDataFrame([(k, max(1, ceil(n / BUCKET))) for k, n in counts.items()], "length int, buckets int")
     dealt = cut.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "rid"), F.col("buckets")).cast("int"))
     order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "rid")
-    before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    ends = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")).select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
+    ends = running(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")), ["length"], "bucket", "n").select("length", "bucket", F.col("before_n").alias("n0"))
     ranked = dealt.withColumn("rank", F.row_number().over(order)).join(ends, ["length", "bucket"])
     ranked = ranked.select("doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", (F.col("n0") + F.col("rank") - 1).alias("number"))
     return ranked.mapInArrow(_place(runs), _PLACED)

@@ -10,6 +10,7 @@ import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from sedgewire.llm import common, line_dedup, minhash_dedup, mixing, packing, quality, tokens, training_order
@@ -200,47 +201,154 @@ def test_keep_quality_leaves_columns(spark, docs, empty):
     assert quality.keep_quality(empty).count() == 0 and quality.quality(empty).count() == 0
 
 
+def filled(sizes, weights, share=1.5, most=2.0):
+    """The targets by bisection on the level that all sources fill to."""
+    order = sorted((x for x in sizes if x is not None)) + [x for x in sizes if x is None]
+    weight = {x: weights[k % len(weights)] for k, x in enumerate(order)}
+    lo, hi = 0.0, 1e12
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(most * n, mid * weight[x]) for x, n in sizes.items()) < share * sum(sizes.values()) else (lo, mid)
+    return {x: min(most * n, hi * weight[x]) for x, n in sizes.items()}
+
+
 def test_mixing(spark, docs, empty):
     rows = corpus()
-    got = mixing.mixed_words(docs, block_words=16).collect()
+    got = mixing.mixed_words(docs, block_words=16, shard_blocks=40).collect()
     assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
     sizes = Counter()
     for r in rows:
         sizes[r[3]] += len(words(r[1]))
-    goal = mixing.targets(dict(sizes), mixing.cycled(list(sizes)))
-    assert abs(sum(goal.values()) - 1.5 * sum(sizes.values())) < 1e-6 and all(goal[k] <= 2 * sizes[k] + 1e-9 for k in sizes)
-    taken = Counter()
+    goal = filled(dict(sizes), (3, 1, 2))
     source = {(r[0], len(words(r[1]))): r[3] for r in rows}
+    taken = Counter()
     for r in got:
         taken[source[r.doc_id, r.size]] += r.taken
+        assert r.source_size == sizes[source[r.doc_id, r.size]] and abs(r.target - goal[source[r.doc_id, r.size]]) < 1e-4
+        assert (r.n_shards > 0) == (r.taken > 0) == (r.first_shard is not None)
     assert all(abs(taken[k] - goal[k]) <= 1 for k in sizes)
-    again = mixing.mixed_words(docs, block_words=16).collect()
+    again = mixing.mixed_words(docs, block_words=16, shard_blocks=40).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
-    assert mixing.mixed_words(empty).count() == 0
-    assert mixing.mixed_documents(docs).columns == docs.columns
+    assert mixing.mixed_words(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0
 
 
-def test_water_filling():
-    assert mixing.targets({"a": 10, "b": 1000}, {"a": 3, "b": 1}) == {"a": 20.0, "b": 1495.0}
-    assert mixing.cycled(["b", None, "a", "Z"]) == {"Z": 3, "a": 1, "b": 2, None: 3}
+def test_water_filling(spark):
+    rows = [("b", 10, 1), ("a", 1000, 1), (None, 7, 1), ("Z", 0, 1), ("ä", 5, 1)]
+    ranked = mixing.ranked_sources(spark.createDataFrame(rows, "source string, size long, n_blocks long")).collect()
+    assert [r.source for r in sorted(ranked, key=lambda r: r.sid)] == ["Z", "a", "b", "ä", None]
+    for sizes, weights in (([10, 1000], [3.0, 1.0]), ([5, 0, 9, 100], [1.0, 2.0, 0.0, 3.0]), ([4, 4], [1.0, 1.0]), ([0, 0], [1.0, 1.0]), ([1, 10, 100, 1000, 10_000], [5.0, 4.0, 3.0, 2.0, 1.0])):
+        frame = spark.createDataFrame([(str(k), n, w) for k, (n, w) in enumerate(zip(sizes, weights, strict=True))], "source string, size long, weight double")
+        got = [r.target for r in mixing.with_targets(frame).orderBy("source").collect()]
+        level = 0.0
+        for _ in range(400):  # upwards to the level where all is shared, or all are full
+            now = [min(2.0 * n, level * w) for n, w in zip(sizes, weights, strict=True)]
+            level += max(0.0, 1.5 * sum(sizes) - sum(now)) / sum(weights)
+        assert got == pytest.approx(now, rel=1e-6, abs=1e-6), sizes
 
 
-def test_splitting_tree():
+def test_weights_of_a_table(spark, docs):
+    weights = spark.createDataFrame([("s1", 1.0), (None, 2.0)], "source string, weight double")
+    got = mixing.mixed_words(docs, weights=weights, share=0.5, block_words=16).collect()
+    source = {(r[0], len(words(r[1]))): r[3] for r in corpus()}
+    assert {source[r.doc_id, r.size] for r in got if r.taken} == {"s1", None}
+
+
+def test_splitting_tree(spark):
     counts = np.array([500, 0, 70, 1234])
-    whole = list(mixing.shard_quotas(counts, 11, 0, 11, 5))
+    whole = list(mixing.shard_quotas(np.array([counts.sum()]), 0, counts, 11, 0, 11, 5))
     assert (sum(n for _, _, n in whole) == counts).all() and [k for k, _, _ in whole] == list(range(11))
     assert {int(n.sum()) for _, _, n in whole} <= {164, 163, 165}
-    alone = next(mixing.shard_quotas(counts, 11, 7, 8, 5))
+    alone = next(mixing.shard_quotas(np.array([counts.sum()]), 0, counts, 11, 7, 8, 5))
     assert (alone[1] == whole[7][1]).all() and (alone[2] == whole[7][2]).all()
     assert (whole[7][1] == sum(n for _, _, n in whole[:7])).all()
-    big = mixing.hypergeometric(np.random.default_rng(1), 10**12, 3 * 10**12, 10**6)
-    assert abs(big - 250_000) < 5000
-
-
-def test_shards_are_disjoint(spark, docs):
-    made = mixing.mix(docs, block_words=8)
+    many = [(k, (k * 7919) % 23) for k in range(1300)]  # three groups of sources, two chunks of shards
+    rows = mixing.split_quotas(spark.createDataFrame(many, "sid long, n long"), 300, 3).collect()
+    of_source, of_shard = defaultdict(list), Counter()
+    for r in rows:
+        of_source[r.sid].append((r.shard, r.start, r.n))
+        of_shard[r.shard] += r.n
+    total = sum(n for _, n in many)
+    assert all(of_shard[k] == total * (k + 1) // 300 - total * k // 300 for k in range(300))
+    for sid, n in many:
+        at = 0
+        for _, start, part in sorted(of_source[sid]):
+            assert start == at
+            at += part
+        assert at == n
+
+
+def test_draws_follow_the_distribution():
+    """Beyond a population of 10^9 against the exact probabilities, of whole numbers."""
+    from fractions import Fraction
+    from math import comb
+
+    good, bad, draws, n = 6, 3 * 10**9, 10**9, 4000
+    chance, p = [], Fraction(1)
+    for k in range(good):  # none of the good is drawn
+        p *= Fraction(good + bad - draws - k, good + bad - k)
+    for k in range(good + 1):
+        chance.append(float(p))
+        p = p * (good - k) * (draws - k) / ((k + 1) * (bad - draws + k + 1)) if k < good else p
+    assert abs(sum(chance) - 1) < 1e-12 and comb(6, 3) == 20
+    got = Counter(mixing.hypergeometric(np.random.default_rng(seed), good, bad, draws) for seed in range(n))
+    assert sum((got[k] - n * c) ** 2 / (n * c) for k, c in enumerate(chance)) < 25
+    big = [mixing.hypergeometric(np.random.default_rng(k), 10**12, 3 * 10**12, 10**6) for k in range(200)]
+    assert abs(np.mean(big) - 250_000) < 150 and 0.75 < np.std(big) / (10**6 * 0.25 * 0.75) ** 0.5 < 1.25
+    small = [mixing.hypergeometric(np.random.default_rng(k), 40, 60, 30) for k in range(2000)]
+    own = mixing._LARGE
+    try:
+        mixing._LARGE = 1
+        same = [mixing.hypergeometric(np.random.default_rng(k), 40, 60, 30) for k in range(2000)]
+    finally:
+        mixing._LARGE = own
+    assert abs(np.mean(small) - np.mean(same)) < 0.3 and abs(np.std(small) - np.std(same)) < 0.2
+
+
+def test_the_tree_decides_the_shards(spark, docs, monkeypatch):
+    made = mixing.mix(docs.select("doc_id", "text", "source"), block_words=8, shard_blocks=40)
     rows = made.blocks.collect()
-    assert len({(r.rid, r["pass"], r.block) for r in rows}) == len(rows) == made.blocks.count()
+    assert len({(r.rid, r["pass"], r.block) for r in rows}) == len(rows) and len({r.shard for r in rows}) > 5
+    sizes = Counter(r.shard for r in rows)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    before = {r.rid: (r.taken, r.n) for r in made.blocks.groupBy("rid").agg(F.sum("words").alias("taken"), F.sum(F.col("shard") * F.col("words")).alias("n")).collect()}
+    monkeypatch.setattr(mixing, "split_quotas", lambda sources, shards, seed: plain_split(spark, sources, shards))
+    after = {r.rid: (r.taken, r.n) for r in mixing.mix(docs.select("doc_id", "text", "source"), block_words=8, shard_blocks=40).blocks.groupBy("rid").agg(F.sum("words").alias("taken"), F.sum(F.col("shard") * F.col("words")).alias("n")).collect()}
+    assert {k: v[0] for k, v in before.items()} == {k: v[0] for k, v in after.items()} and before != after
+
+
+def plain_split(spark, sources, shards):
+    """Source after source, without any draw."""
+    total, at, out = sum(r.n for r in sources.collect()), 0, []
+    for r in sorted(sources.collect(), key=lambda r: r.sid):
+        for k in range(shards):
+            lo, hi = max(at, total * k // shards), min(at + r.n, total * (k + 1) // shards)
+            if lo < hi:
+                out.append((r.sid, k, lo - at, hi - lo))
+        at += r.n
+    return spark.createDataFrame(out, "sid long, shard long, start long, n long")
+
+
+def test_mixed_documents_go_by_row(spark, docs, tmp_path):
+    rows = corpus()
+    rows = [(r[0] % 40 if r[0] is not None else None, *r[1:]) for r in rows]  # ids repeat, texts differ
+    twice = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mixed_documents(twice, shard_blocks=30)
+    assert out.columns == twice.columns
+    sizes, taken = Counter(), Counter()
+    for r in rows:
+        sizes[r[3]] += len(words(r[1]))
+    got = out.collect()
+    for r in got:
+        taken[r.source] += len(words(r.text))
+    goal = filled(dict(sizes), (3, 1, 2))
+    longest = max(len(words(r[1])) for r in rows)
+    assert all(abs(taken[k] - goal[k]) <= longest for k in sizes)
+    had, has = Counter(tuple(r) for r in rows), Counter(tuple(r) for r in got)
+    assert all(n <= 2 * had[r] for r, n in has.items()) and set(has) <= set(had)
+    assert Counter(tuple(r) for r in mixing.mixed_documents(twice, shard_blocks=30).collect()) == has
+    mixing.write_mix(twice, f"{tmp_path}/mix", shard_blocks=30)
+    written = spark.read.parquet(f"{tmp_path}/mix")
+    assert Counter(tuple(r) for r in written.select(*twice.columns).collect()) == has and written.select("shard").distinct().count() == -(-len(got) // 30)
 
 
 ENCODER = Tokenizer.from_file(VOCABULARY)
