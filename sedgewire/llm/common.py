@@ -27,10 +27,8 @@ U = np.uint64
 
 def small_batches(spark: SparkSession) -> None:
     """Keeps the Arrow batches of long texts small in JVM and Python alike. The setting is read when a plan runs, which
-    may be after we return, so it stays; a smaller one of the session's own is left."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(re.sub(r"\D", "", spark.conf.get(name, "")) or 1 << 62) > ARROW_BYTES or not spark.conf.get(name, "").isdigit():
-        spark.conf.set(name, str(ARROW_BYTES))
+    is after we return, so it stays for the session; it bounds memory and changes no result."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def scratch(spark: SparkSession) -> str:

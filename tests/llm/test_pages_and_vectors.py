@@ -34,11 +34,14 @@ def test_vectors(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")).count() == 0
 
 
-def test_tile_bounds_lose_nothing():
+def test_bounds_of_codes_hold():
     r = np.random.default_rng(1)
-    unit = embedding_dedup.unit_rows(r.normal(size=(1, 64)) + r.normal(scale=0.2, size=(300, 64)))
-    at, to = embedding_dedup.tile_links(unit, unit, 0.98)
-    assert set(zip(at.tolist(), to.tolist(), strict=True)) == set(zip(*(x.tolist() for x in np.nonzero(unit @ unit.T >= 0.98)), strict=True))
+    unit = embedding_dedup.unit_rows(r.normal(size=(1, 64)) + r.normal(scale=0.16, size=(300, 64)))
+    coded = embedding_dedup.quantise(unit)
+    sure, open_ = embedding_dedup.bounded_links(coded, coded, 0.98)
+    true = unit @ unit.T >= 0.98
+    assert (sure <= true).all() and (true <= (sure | open_)).all() and not (sure & open_).any()
+    assert sure.any() and open_.any() and (true & open_).any() and not (sure | open_).all()
 
 
 def test_captures(spark, tmp_path):
