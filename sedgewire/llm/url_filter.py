@@ -2,17 +2,26 @@
 
 Host rules come first, the longest that fits wins. For the other urls each host has a tree of path templates:
 segments that look variable (numbers, dates, hexadecimal, identifiers) become wildcards at once. Then, level by level,
-the segments of a place whose share of bad labels is statistically apart from the place's (a two-proportion score over
-Z) stand alone, however many there are. The others, unlabelled ones too, pool their labels if these are apart from the
-place's, or else are judged by the place's. Where a place has more than FANOUT different segments, those others become
-one wildcard, so that their branches are merged below it too. A template is rejected if its smoothed purity, (bad +
-PRIOR * share of all) / (labelled + PRIOR), is over BAD.
+the branches of a place are told apart by their labels. Two sets of labels are apart if the likelihood ratio of one
+share of bad labels for both against a share for each is beyond what chance gives any of the place's labelled branches
+(ALPHA over their number, by Chernoff's bound).
+
+1. A branch that is apart from all others of its place together goes to its worse or its better ones; the rest, also
+   branches without labels, to those between.
+2. The three pools are counted anew. A branch that is apart from the others of its pool stands alone, and the worse and
+   the better whose pools are not apart from those between go back to them; then the pools are final.
+3. Branches of one pool are alike. They share its labels and are merged into one wildcard, so that what is below them is
+   looked at together; but one whose own branches differ among themselves keeps its name.
+
+A url is judged by the last pool or branch of its own that has labels. Its template is rejected if the smoothed purity,
+(bad + PRIOR * share of all) / (labelled + PRIOR), is over BAD. Nothing depends on how many branches there are but the
+chance that one of them strays.
 
 Everything works on the distinct templates, counted by partial aggregates; a host with a third of all urls is a few
-templates by then, or many that are dealt by (host, prefix). Levels go on as deep as there is anything to part: a template that has a place to itself is done, as
-are places without labels and of too few templates for a wildcard. Defined results: a null
-url or one without `://` has an empty host and path; urls of an unlabelled tree are allowed; extra columns are
-ignored; an empty table gives an empty result.
+templates by then, or many that are dealt by (host, place, segment). Levels go on as deep as there is anything to part:
+a template that has a place to itself is done, and so are places without labels. Defined results: a null
+url or one without `://` has an empty host and path; urls of an unlabelled tree are allowed; rows that repeat a page_id
+or a url are judged each; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,14 +31,13 @@ from pyspark.sql import functions as F
 
 from sedgewire.llm.common import if_small, stage
 
-FANOUT = 32
-Z = 1.96
+ALPHA = 0.05
 PRIOR = 4.0
 BAD = 0.5
 #: (verdict, rule): a host and all its subdomains, and how the path starts.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Stands for a wildcard within; no path has it.
-_ANY = "?"
+#: Stand for the merged branches of a place, worse, between and better; no path has them.
+_ANY = {1: "?+", 0: "?", -1: "?-"}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,16 +73,58 @@ def template(path: Column) -> Column:
     return F.transform(segments, wild)
 
 
-def _differs(bad: Column, n: Column, of_bad: Column, of_n: Column) -> Column:
-    """Whether two shares of bad labels are statistically apart; without labels nothing is."""
-    both = (bad + of_bad) / (n + of_n)
-    spread = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-9)) * (1 / n + 1 / of_n))
-    return F.when((n > 0) & (of_n > 0), F.abs(bad / n - of_bad / of_n) > Z * spread).otherwise(F.lit(False))
+def _x_log_x(x: Column) -> Column:
+    return F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))
+
+
+def _fit(bad: Column, n: Column) -> Column:
+    """The logarithm of the likelihood that a share of its own gives to labels."""
+    return _x_log_x(bad) + _x_log_x(n - bad) - _x_log_x(n)
+
+
+def _apart(bad: Column, n: Column, of_bad: Column, of_n: Column, many: Column) -> Column:
+    """Whether two sets of labels are apart, where `many` are tested; without labels nothing is."""
+    gain = _fit(bad, n) + _fit(of_bad, of_n) - _fit(bad + of_bad, n + of_n)
+    return F.when((n > 0) & (of_n > 0), F.round(gain, 9) > F.log(many / F.lit(ALPHA))).otherwise(F.lit(False))
+
+
+def _branches(nodes: DataFrame, place: list[str]) -> DataFrame:
+    """nodes (place, part, bad, n, held, uneven, pool_bad, pool_n) with the name of each branch, merged ones alike, its
+    number of templates, whether it has labels, and the pool that its urls are judged by from now on."""
+    c = F.col
+    sides = {1: "worse", 0: "same", -1: "better"}
+    of = lambda side, x: c(f"{sides[side]}_{x}")
+    own = lambda x: F.when(c("side") == 1, of(1, x)).when(c("side") == -1, of(-1, x)).when(c("side") == 0, of(0, x))
+
+    def pooled(df: DataFrame, side: Column) -> DataFrame:
+        """df with its side anew and what the place's three pools hold: labels, and the branches that merge."""
+        df = df.select(*place, "part", "bad", "n", "held", "uneven", "pool_bad", "pool_n", "many", side.alias("side"))
+        even = lambda k: (c("side") == k) & ~c("uneven")
+        sums = [F.sum(F.when(c("side") == k, c(x)).otherwise(0)).alias(f"{name}_{x}") for k, name in sides.items() for x in ("bad", "n")]
+        sums += [F.sum(F.when(even(k), v).otherwise(0)).alias(f"{name}_{x}") for k, name in sides.items() for x, v in (("mates", F.lit(1)), ("held", c("held")), ("labels", c("n")))]
+        return df.join(df.groupBy(*place).agg(*sums, F.max(c("side").isNull() | (c("side") != 0)).alias("split")), place)
+
+    tally = nodes.groupBy(*place).agg(F.sum("bad").alias("all_bad"), F.sum("n").alias("all_n"), F.greatest(F.count_if(c("n") > 0), F.lit(1)).alias("many"))
+    rest_bad, rest_n = c("all_bad") - c("bad"), c("all_n") - c("n")
+    worse = c("bad") * rest_n > rest_bad * c("n")
+    rows = pooled(nodes.join(tally, place), F.when(~_apart(c("bad"), c("n"), rest_bad, rest_n, c("many")), 0).when(worse, 1).otherwise(-1))
+    rows = pooled(rows, F.when(~_apart(c("bad"), c("n"), own("bad") - c("bad"), own("n") - c("n"), c("many")), c("side")))
+    back = lambda k: (of(0, "n") > 0) & ~_apart(of(k, "bad"), of(k, "n"), of(0, "bad"), of(0, "n"), c("many"))
+    rows = pooled(rows, F.when((c("side") == 1) & back(1) | (c("side") == -1) & back(-1), 0).otherwise(c("side")))
+
+    wild = c("side").isNotNull() & ~c("uneven") & (own("mates") > 1)
+    mark = F.when(c("side") == 1, _ANY[1]).when(c("side") == -1, _ANY[-1]).otherwise(F.lit(_ANY[0]))
+    judge = lambda x: F.when(c("side").isNull(), c(x)).when(c("split") & (own("n") > 0), own(x)).otherwise(c(f"pool_{x}"))
+    #: A place's templates and labels are those of its branches of one name.
+    return rows.select(
+        *place, "part", F.when(wild, mark).otherwise(c("part")).alias("name"), F.when(wild, own("held")).otherwise(c("held")).alias("held"),
+        (F.when(wild, own("labels")).otherwise(c("n")) > 0).alias("labels"), judge("bad").alias("pool_bad"), judge("n").alias("pool_n"),
+    )
 
 
 def template_tree(urls: DataFrame) -> DataFrame:
     """(host, raw, template, bad, labelled, purity): the distinct templates of urls (host, path, bad), where bad is 1, 0
-    or null for a url without a label. raw is the template before segments of fanned-out places became wildcards."""
+    or null for a url without a label. raw is the template before branches were merged."""
     seen = urls.select("host", template(F.col("path")).alias("raw"), "bad").groupBy("host", "raw")
     tree = stage(seen.agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")).withColumn("template", F.col("raw")), "templates")
     whole = tree.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 1) / (F.coalesce(F.sum("labelled"), F.lit(0)) + 2)).alias("share"))
@@ -82,34 +132,27 @@ def template_tree(urls: DataFrame) -> DataFrame:
 
     #: Level by level; pool is what a row's place is judged by so far, held its number of templates.
     left, done = tree.join(if_small(hosts), "host"), []
-    place, pool = ["host", "parent"], ["pool_bad", "pool_n"]
+    place = ["host", "parent"]
     d = 0
     while True:
-        #: What is alone in its place, or neither labelled there nor numerous enough for a wildcard, has nothing to part.
-        more = (F.size("template") > d) & ((F.col("held") > FANOUT) | (F.col("held") > 1) & F.col("labels"))
+        more = (F.size("template") > d) & (F.col("held") > 1) & F.col("labels")
         done.append(left.where(~more))
         left = left.where(more)
         if left.isEmpty():
             break
-        rows = left.withColumns({"parent": F.array_join(F.slice("template", 1, d), "/"), "part": F.get("template", F.lit(d))})
-        nodes = rows.groupBy(*place, "part").agg(F.sum("bad").alias("node_bad"), F.sum("labelled").alias("node_n"), F.count("*").alias("node_held"), *(F.max(c).alias(f"of_{c}") for c in (*pool, "held")))
-        #: A segment that has all of its place is the place itself, judged already.
-        alone = (F.col("node_held") < F.col("of_held")) & _differs(F.col("node_bad"), F.col("node_n"), F.col("of_pool_bad"), F.col("of_pool_n"))
-        nodes = stage(nodes.withColumn("alone", alone), "nodes")
-        rest = [F.sum(F.when(F.col("alone"), 0).otherwise(F.col(f"node_{c}"))).alias(f"rest_{c}") for c in ("bad", "n", "held")]
-        places = stage(nodes.groupBy(*place).agg(F.count("*").alias("fan"), *rest), "places")
-        both = nodes.join(if_small(places), place)
-        wild = (F.col("fan") > FANOUT) & ~F.col("alone")
-        parted = (F.col("rest_held") < F.col("of_held")) & _differs(F.col("rest_bad"), F.col("rest_n"), F.col("of_pool_bad"), F.col("of_pool_n"))
-        take = lambda c: F.when(F.col("alone"), F.col(f"node_{c}")).when(parted, F.col(f"rest_{c}")).otherwise(F.col(f"of_pool_{c}"))  # noqa: E731, B023
-        of_node = lambda c: F.when(wild, F.col(f"rest_{c}")).otherwise(F.col(f"node_{c}"))  # noqa: E731, B023
-        both = both.select(*place, "part", wild.alias("wild"), take("bad").alias("pool_bad"), take("n").alias("pool_n"), of_node("held").alias("held"), (of_node("n") > 0).alias("labels"))
-        put = F.transform("template", lambda s, k: F.when((k == d) & F.col("wild"), F.lit(_ANY)).otherwise(s))  # noqa: B023
-        left = stage(rows.drop(*pool, "held", "labels").join(both, [*place, "part"]).withColumn("template", put).select(*left.columns), "tree")
+        rows = left.withColumns({"parent": F.array_join(F.slice("template", 1, d), "/"), "part": F.get("template", F.lit(d)), "next": F.get("template", F.lit(d + 1))})
+        kids = rows.groupBy(*place, "part", "next").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("n"), F.count("*").alias("held"), F.max("pool_bad").alias("pool_bad"), F.max("pool_n").alias("pool_n"))
+        sums = [F.sum(x).alias(x) for x in ("bad", "n", "held")]
+        nodes = kids.groupBy(*place, "part").agg(*sums, F.max("pool_bad").alias("pool_bad"), F.max("pool_n").alias("pool_n"), F.count_if(F.col("n") > 0).alias("kids"), F.sum(_fit(F.col("bad"), F.col("n"))).alias("fit"))
+        gain, free = 2 * F.round(F.col("fit") - _fit(F.col("bad"), F.col("n")), 6), F.col("kids") - 1
+        uneven = (F.col("kids") > 1) & (gain > free + 3 * F.sqrt(2 * free) + 6)
+        both = stage(_branches(stage(nodes.withColumn("uneven", uneven).drop("kids", "fit"), "nodes"), place), "branches")
+        put = F.transform("template", lambda s, k: F.when(k == d, F.col("name")).otherwise(s))  # noqa: B023
+        left = stage(rows.drop("pool_bad", "pool_n", "held", "labels").join(if_small(both), [*place, "part"]).withColumn("template", put).select(*left.columns), "tree")
         d += 1
     for part in done:
         left = left.unionByName(part)
-    shown = F.array_join(F.transform("template", lambda s: F.when(s == _ANY, F.lit("*")).otherwise(s)), "/")
+    shown = F.array_join(F.transform("template", lambda s: F.when(s.startswith("?"), F.replace(s, F.lit("?"), F.lit("*"))).otherwise(s)), "/")
     purity = (F.col("pool_bad") + PRIOR * F.col("share")) / (F.col("pool_n") + PRIOR)
     return left.join(F.broadcast(whole), F.lit(True)).select("host", "raw", shown.alias("template"), "bad", "labelled", purity.alias("purity"))
 
