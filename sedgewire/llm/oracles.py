@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from sedgewire.llm.line_dedup import NEAR_WORDS
-from sedgewire.llm.quality import FLOORS, GAMMA, LEAST, REACH
+from sedgewire.llm.quality import FLOORS, GAMMA, LEAN, REACH
 
 #: Word arrays: ASCII white space only, empty parts left out.
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -43,7 +43,7 @@ q as (select lang, source, measure, bucket, count(*) as n, grouping(source) as g
 u as (select *, sum(n) over (partition by gs, gl, lang, source, measure order by bucket asc nulls first) as upto, sum(n) over (partition by gs, gl, lang, source, measure) as total from q),
 e as (select gs, gl, lang, source, measure, max(total) as total, min(case when upto >= ceil(0.25 * total) then coalesce(2 * pow({GAMMA!r}, bucket) / ({GAMMA!r} + 1), 0) end) as q1, min(case when upto >= ceil(0.75 * total) then coalesce(2 * pow({GAMMA!r}, bucket) / ({GAMMA!r} + 1), 0) end) as q3 from u group by all),
 z as (select *, q3 + {REACH!r} * greatest(q3 - q1, {' '.join(['case measure'] + [f"when '{a}' then {b!r}" for a, b in FLOORS.items()] + ['end'])}) as fence from e),
-o as (select m.doc_id, bool_or(m.v > case when a.total >= {LEAST} then a.fence when l.total >= {LEAST} then l.fence else s.fence end) as outlier from m
+o as (select m.doc_id, bool_or(m.v > (a.total * a.fence + {LEAN} * ((l.total * l.fence + {LEAN} * s.fence) / (l.total + {LEAN}))) / (a.total + {LEAN})) as outlier from m
   left join (select * from z where gs = 0) a on a.lang is not distinct from m.lang and a.source is not distinct from m.source and a.measure = m.measure
   left join (select * from z where gs = 1 and gl = 0) l on l.lang is not distinct from m.lang and l.measure = m.measure left join (select * from z where gl = 1) s on s.measure = m.measure group by m.doc_id)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(outlier, false) as kept from f left join o using (doc_id)"""

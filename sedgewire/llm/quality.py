@@ -2,8 +2,9 @@
 
 Measures of every whole text go into mergeable quantile sketches: counts of logarithmic buckets, whose
 quantiles have a bounded relative error and which merge by adding counts, so that the corpus is sketched by
-ordinary partial aggregation. A measure is an outlier above q75 + reach * max(q75 - q25, floor) of its group.
-A (language, source) with under `least` texts takes its language's sketch, and that the whole corpus's.
+ordinary partial aggregation. A measure is an outlier above q75 + REACH * max(q75 - q25, floor) of its group. A
+language's threshold leans on the whole corpus's as if that were LEAN more texts, and that of a (language, source) on its
+language's likewise; so the thresholds move smoothly as groups grow, and large groups have their own.
 
 Defined results: a null or empty text has no words and fails the base rules; null languages and sources are
 groups like any other; repeated rows each get a verdict; an empty table gives an empty result.
@@ -24,8 +25,8 @@ from sedgewire.llm.common import guarded, mix64, small_batches, stage, word_hash
 #: Relative error of a sketch's quantiles.
 ACCURACY = 0.01
 GAMMA = (1 + ACCURACY) / (1 - ACCURACY)
-#: Texts a group needs for thresholds of its own.
-LEAST = 200
+#: Texts that a group's parent weighs beside the group's own.
+LEAN = 200
 REACH = 3.0
 #: The measures, and the least spread that counts for each.
 FLOORS = {"symbols": 0.05, "dup_lines": 0.15, "repeats": 0.15, "upper": 0.1, "marks": 0.05, "word_length": 1.0}
@@ -134,7 +135,8 @@ def thresholds(sketches: DataFrame) -> DataFrame:
     lang = _fences(sketches, ["lang"]).select(F.col("lang").alias("of"), F.col("total").alias("of_total"), F.col("fence").alias("of_fence"))
     whole = _fences(sketches.withColumn("all", F.lit(0)), ["all"]).select(F.col("fence").alias("whole"))
     both = own.join(lang, F.col("lang").eqNullSafe(F.col("of")), "left").join(F.broadcast(whole), F.lit(True), "left")
-    limits = F.when(F.col("total") >= LEAST, F.col("fence")).when(F.col("of_total") >= LEAST, F.col("of_fence")).otherwise(F.col("whole"))
+    leans = lambda own, n, parent: F.map_zip_with(own, parent, lambda _, x, y: (n * x + LEAN * y) / (n + LEAN))
+    limits = leans(F.col("fence"), F.col("total"), leans(F.col("of_fence"), F.col("of_total"), F.col("whole")))
     return both.select(F.col("lang").alias("for_lang"), F.col("source").alias("for_source"), limits.alias("limits"))
 
 

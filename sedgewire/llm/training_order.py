@@ -2,9 +2,10 @@
 
 Documents become sequences of at most `length` tokens. A first pass counts them, so that each has a dense index from
 0 to N - 1; a balanced Feistel network keyed by the seed, walked until it falls below N, maps indexes one to one onto
-slots. A second pass deals the sequences to shards, ranges of slots, sorts each shard by slot and writes it with
-Spark's text writer: cast to a string, bytes are written as they are. Record r of a shard starts at r times the
-stride, so a reader resumes at any slot with one seek.
+slots. A second pass deals the sequences to shards, ranges of slots: a slot's range is known from its number, so a
+partition is one shard by its id, without sampling or hashing. Each is sorted by slot and written with Spark's text
+writer: cast to a string, bytes are written as they are. Record r of a shard starts at r times the stride, so a reader
+resumes at any slot with one seek: read_from does. What a reader has to know is written beside the shards.
 
 A record: doc_id (8 bytes, signed), piece (4, unsigned), number of tokens (4), the tokens (2 each, unsigned, padded with 0), a line
 end; all little-endian. Both passes split the input alike, as the least number of splits is pinned for them; each
@@ -15,6 +16,8 @@ back null; rows that repeat a doc_id are sequences of their own; an empty table
 
 from __future__ import annotations
 
+import json
+import struct
 import zlib
 from collections.abc import Iterator
 from math import ceil
@@ -31,6 +34,8 @@ LENGTH = 256
 SHARD = 16_384
 ROUNDS = 6
 _NO_ID = -(1 << 63)
+#: A folder of JSON beside the shards, which Spark's readers pass over: sequences, length, shard, key.
+ABOUT = "_order"
 
 
 def feistel(index: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -108,11 +113,40 @@ def write_order(documents: DataFrame, path: str, to: str, length: int = LENGTH,
             n += many
         if n:
             dealt = rows.mapInArrow(_write(path, length, base, n, key, shard), "shard long, slot long, value binary")
-            dealt = dealt.repartition(ceil(n / shard), "shard").sortWithinPartitions("shard", "slot")
+            dealt = dealt.repartitionById(ceil(n / shard), F.col("shard").cast("int")).sortWithinPartitions("shard", "slot")
             dealt.select("shard", F.col("value").cast("string").alias("value")).write.partitionBy("shard").text(to)
+    about = spark.createDataFrame([(n, length, shard, key)], "sequences long, length long, shard long, key long")
+    about.coalesce(1).write.json(f"{to}/{ABOUT}")
     return n
 
 
+def read_from(uri: str, slot: int = 0) -> Iterator[tuple[int, int | None, int, np.ndarray]]:
+    """(slot, doc_id, piece, ids) from a slot on, in order, for one reader that trains: no session is needed. uri is what
+    the shards were written under, on any file system that pyarrow knows. A shard is opened when it is due and sought to
+    the slot once; a reader that stopped goes on from the slot after its last."""
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:/") else (fs.LocalFileSystem(), uri)
+
+    def only(folder: str, suffix: str) -> str:
+        (found,) = [f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.path.endswith(suffix) and f.size]
+        return found
+
+    with store.open_input_stream(only(f"{root}/{ABOUT}", ".json")) as f:
+        about = json.loads(f.read())
+    stride = 16 + 2 * about["length"] + 1
+    while slot < about["sequences"]:
+        with store.open_input_file(only(f"{root}/shard={slot // about['shard']}", ".txt")) as f:
+            f.seek(slot % about["shard"] * stride)
+            while block := f.read(stride * 256):
+                for k in range(0, len(block), stride):
+                    doc, piece, many = struct.unpack_from("<qII", block, k)
+                    if len(block) < k + stride or block[k + stride - 1] != 10:
+                        raise ValueError(f"slot {slot} is not a whole record")
+                    yield slot, None if doc == _NO_ID else doc, piece, np.frombuffer(block, "<u2", many, k + 16)
+                    slot += 1
+
+
 def _read(length: int, shard: int):
     stride = 16 + 2 * length + 1
 

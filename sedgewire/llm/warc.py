@@ -4,7 +4,8 @@ A capture is written as three records: response (or revisit, for a payload seen
 the last two naming the first in WARC-Concurrent-To. Records are rows of Spark's text writer, whose line end is
 the two CRLF that close a record; so archives are committed like any Spark output, on any file system, and
 executors may be lost. Archives are read by Content-Length alone, whatever their payloads hold, streamed in
-bounded chunks from the compressed bytes. Assembly joins the records by concurrent-to identifiers, across
+bounded chunks from the compressed bytes, of which an archive may have 2 GB. Ours hold one gzip member each, not one for
+each record, and no warcinfo record. Assembly joins the records by concurrent-to identifiers, across
 archives, and emits one nested row per capture.
 
 Defined results: a null html is an empty payload, a null url an urn of the page's record; white space and
@@ -52,15 +53,19 @@ def _clean_uri(url: Column) -> Column:
 
 
 def write_captures(pages: DataFrame, path: str, date: str = "2024-01-01T00:00:00Z") -> None:
-    """Writes pages (page_id, url, html) as archives under path. pages must be a scan of files, read twice alike."""
+    """Writes pages (page_id, url, html) as archives under path. pages is read twice and should be a scan of files, so that
+    its rows are numbered alike; a row that turns out to be another than when its payload was digested fails the job."""
     rows = pages.select(F.monotonically_increasing_id().alias("rid"), F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     size = F.octet_length("html").cast("long")
     rows = rows.select("*", size.alias("size"), F.sha2(F.col("html").cast("binary"), 256).alias("digest"))
     seen = stage(rows.select("rid", "page_id", "size", "digest"), "digests")
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "rid")
     firsts = seen.where(F.col("size") >= LEAST_SHARED).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    again = seen.join(firsts, "digest").where(F.col("rid") != F.col("first")["rid"]).select(F.col("rid").alias("of"), F.col("first")["rid"].alias("to"), F.col("first")["page_id"].alias("to_page"))
+    again = seen.join(firsts, "digest").where(F.col("rid") != F.col("first")["rid"])
+    again = again.select(F.col("rid").alias("of"), F.col("first")["rid"].alias("to"), F.col("first")["page_id"].alias("to_page"), F.col("page_id").alias("of_page"), F.col("digest").alias("of_digest"))
     rows = rows.join(stage(again, "revisits"), F.col("rid") == F.col("of"), "left")
+    other = F.col("of").isNotNull() & ~((F.col("digest") == F.col("of_digest")) & F.col("page_id").eqNullSafe(F.col("of_page")))
+    rows = rows.where(~F.when(other, F.raise_error(F.lit("the pages were numbered otherwise than when they were digested")).cast("boolean")).otherwise(F.lit(False)))
 
     key, revisit = F.col("rid").cast("string"), F.col("to").isNotNull()
     main = _urn(key, 0)

@@ -421,6 +421,24 @@ def test_training_order(spark, docs, empty):
     assert training_order.ordered(empty, VOCABULARY).count() == 0
 
 
+def test_training_resumes_at_any_slot(spark, docs, empty, tmp_path):
+    """The order itself by brute force: the permutation over the sequences in the order of the input's splits."""
+    docs.coalesce(1).write.parquet(f"{tmp_path}/in")
+    rows = spark.read.parquet(f"{tmp_path}/in")
+    n = training_order.write_order(rows, VOCABULARY, f"{tmp_path}/out", length=16, shard=50, key=7)
+    flat = []
+    for r in rows.collect():
+        e = [*ENCODER.encode(r.text or "", add_special_tokens=False).ids, 0]
+        flat += [(r.doc_id, k // 16, e[k : k + 16]) for k in range(0, len(e), 16)]
+    assert n == len(flat)
+    want = dict(zip(training_order.feistel(np.arange(n), n, 7).tolist(), flat, strict=True))
+    got = list(training_order.read_from(f"{tmp_path}/out"))
+    assert [x[0] for x in got] == list(range(n)) and all((d, p, i.tolist()) == want[k] for k, d, p, i in got)
+    for at in (1, 49, 50, 51, n - 1, n):
+        assert [(k, d, p, i.tolist()) for k, d, p, i in training_order.read_from(f"file://{tmp_path}/out", at)] == [(k, d, p, i.tolist()) for k, d, p, i in got[at:]]
+    assert training_order.write_order(empty, VOCABULARY, f"{tmp_path}/none") == 0 and list(training_order.read_from(f"{tmp_path}/none")) == []
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, k) for k in range(101, 160)] + [(7, 7), (300, 200), (200, 300)]
     got = common.components(spark.createDataFrame(edges, "a long, b long")).collect()
