@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import log1p
 
@@ -66,18 +67,48 @@ _HIDES = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 class Element:
     __slots__ = ("closed", "drop", "embedded", "inside", "name", "number", "path", "soft", "up")
 
-    def __init__(self, name: str, up: Element | None, number: int, drop: bool, soft: bool, label: str):
-        self.name, self.up, self.number = name, up, number
+    def __init__(self, name: str, up: Element | None, number: int, drop: bool, soft: bool, path: int):
+        self.name, self.up, self.number, self.path = name, up, number, path
         self.inside = name in ROOTS or up is not None and up.inside
         self.drop = drop or up is not None and up.drop
-        #: The elements here and above that bear a furniture word among others.
-        self.soft: tuple[int, ...] = (up.soft if up else ()) + ((number,) if soft else ())
-        self.path = (up.path if up else "") + "/" + name + label
+        #: The nearest element, here or above, that bears a furniture word among others.
+        self.soft: Element | None = self if soft else up.soft if up else None
         #: Whether it is in an element of EMBEDDED or is one, and whether that has an end tag before the next of its kind.
         self.embedded = up is not None and up.embedded
         self.closed = True
 
 
+class _Stack(list):
+    """The open elements. Names and unclosed ones are counted, so that no tag has to look through all of them; paths are
+    numbered by their parent's number and their last step, so that none is ever written out."""
+
+    def __init__(self):
+        super().__init__()
+        self.names: Counter[str] = Counter()
+        self.unclosed, self.made, self.paths = 0, 0, {}
+        self.push("html", False, False, "")
+
+    def push(self, name: str, drop: bool, soft: bool, label: str, embedded: bool = False, closed: bool = True) -> None:
+        up = self[-1] if self else None
+        path = self.paths.setdefault((up.path if up else -1, name + label), len(self.paths))
+        e = Element(name, up, self.made, drop, soft, path)
+        e.embedded, e.closed = e.embedded or embedded, closed
+        self.made += 1
+        self.names[name] += 1
+        self.unclosed += not closed
+        self.append(e)
+
+    def cut(self, k: int) -> None:
+        for e in self[k:]:
+            self.names[e.name] -= 1
+            self.unclosed -= not e.closed
+        del self[k:]
+
+    def last(self, name: str) -> int:
+        """The place of the innermost open element of a name, or 0."""
+        return next(k for k in range(len(self) - 1, -1, -1) if self[k].name == name) if self.names[name] else 0
+
+
 class Block:
     __slots__ = ("at", "chars", "links", "text")
 
@@ -109,8 +140,7 @@ def _is_furniture(name: str, attributes: str, inside: bool) -> tuple[bool, bool,
 def blocks(page: str) -> list[Block]:
     """The blocks of text of a page, in order, furniture marked."""
     out: list[Block] = []
-    top = Element("html", None, 0, False, False, "")
-    stack, held, count, links, link_chars = [top], [], 0, 0, 0
+    stack, held, links, link_chars = _Stack(), [], 0, 0
     inline_drop = 0
     dropped_inline: list[str] = []
     raw_until, at = None, 0
@@ -135,14 +165,14 @@ def blocks(page: str) -> list[Block]:
     def close_to(k: int) -> None:
         leave(k)
         flush()
-        del stack[k:]
+        stack.cut(k)
 
     def leave(k: int) -> None:
-        """Closes what is embedded from k on; the text around it goes on."""
-        for e in range(k, len(stack)):
-            if stack[e].embedded:
-                del stack[e:]
-                break
+        """Closes what is embedded from k on, which is all at the end; the text around it goes on."""
+        at = len(stack)
+        while at > max(k, 1) and stack[at - 1].embedded:
+            at -= 1
+        stack.cut(at)
 
     def breaks(name: str) -> bool:
         """Whether a start tag ends what is embedded here: as browsers do in svg and math, and where an end tag is missing."""
@@ -151,7 +181,7 @@ def blocks(page: str) -> list[Block]:
                 break
             if e.name in FOREIGN:
                 return name in BREAKS
-        return name in BLOCKS and not all(e.closed for e in stack)
+        return name in BLOCKS and stack.unclosed > 0
 
     while True:
         if raw_until:
@@ -174,14 +204,14 @@ def blocks(page: str) -> list[Block]:
         name, closing, attributes = name.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if stack[-1].embedded:
             if closing:
-                k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
+                k = stack.last(name)
                 if k and stack[k].embedded:
-                    del stack[k:]
+                    stack.cut(k)
                     continue
-                if not k and (name not in INLINE or all(e.closed for e in stack)):
+                if not k and (name not in INLINE or not stack.unclosed):
                     continue
                 leave(0)
-            elif name not in RAW and (breaks(name) or name in ("button", "select") and any(e.name == name for e in stack)):
+            elif name not in RAW and (breaks(name) or name in ("button", "select") and stack.names[name]):
                 leave(0)
         if closing:
             if name in INLINE:
@@ -191,15 +221,11 @@ def blocks(page: str) -> list[Block]:
                     inline_drop -= 1
             elif name == "br":
                 flush()
-            elif name in EMBEDDED and all(e.name != name for e in stack):
+            elif name in EMBEDDED and not stack.names[name]:
                 continue
             elif name not in VOID:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].name == name:
-                        close_to(k)
-                        break
-                else:
-                    flush()
+                k = stack.last(name)
+                close_to(k) if k else flush()
             if name not in INLINE:
                 links = inline_drop = 0
                 dropped_inline.clear()
@@ -210,13 +236,8 @@ def blocks(page: str) -> list[Block]:
         if name in EMBEDDED or stack[-1].embedded:
             #: In svg and math only what can hold other elements matters.
             if name not in VOID and not attributes.rstrip().endswith("/") and (name in EMBEDDED or name in HOSTS or stack[-1].name not in FOREIGN):
-                count += 1
-                e = Element(name, stack[-1], count, True, False, "")
-                e.embedded = True
-                if name in EMBEDDED:
-                    other = _EITHER[name].search(page, at)
-                    e.closed = other is not None and other[0][1] == "/"
-                stack.append(e)
+                other = _EITHER[name].search(page, at) if name in EMBEDDED else None
+                stack.push(name, True, False, "", True, name not in EMBEDDED or other is not None and other[0][1] == "/")
             continue
         if name in ("br", "hr"):
             flush()
@@ -233,7 +254,7 @@ def blocks(page: str) -> list[Block]:
         flush()
         links = inline_drop = 0
         dropped_inline.clear()
-        if name in CLOSES_P:
+        if name in CLOSES_P and stack.names["p"]:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].name == "p":
                     close_to(k)
@@ -241,20 +262,67 @@ def blocks(page: str) -> list[Block]:
                 if stack[k].name in SCOPES or stack[k].name in ("td", "th", "li", "blockquote"):
                     break
         if name in SIBLINGS:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if any(stack.names[n] for n in SIBLINGS[name]) else ():
                 if stack[k].name in SIBLINGS[name]:
                     close_to(k)
                     if name not in ("tr", "thead", "tbody", "tfoot"):
                         break
                 elif stack[k].name in SCOPES:
                     break
-        count += 1
-        drop, soft, label = _is_furniture(name, attributes, stack[-1].inside)
-        stack.append(Element(name, stack[-1], count, drop, soft, label))
+        stack.push(name, *_is_furniture(name, attributes, stack[-1].inside))
     flush()
     return out
 
 
+def _sums(found: list[Block]) -> dict[int, list[int]]:
+    """Per path: characters, punctuation, linked characters and blocks."""
+    sums: dict[int, list[int]] = {}
+    for b in found:
+        own = sums.setdefault(b.at.path, [0, 0, 0, 0])
+        own[0] += b.chars
+        own[1] += len(_PUNCT.findall(b.text))
+        own[2] += b.links
+        own[3] += 1
+    return sums
+
+
+def ratio(chars: int, punct: int, links: int, n: int) -> float:
+    """A tag path's: its text per block, without links, raised by punctuation."""
+    return log1p((chars - links) / n) * (1 + log1p(punct / n))
+
+
+def path_scores(found: list[Block]) -> tuple[dict[int, float], float]:
+    """The score of each path, its ratio smoothed over neighbouring blocks and fused with its own, and the threshold."""
+    own = {p: ratio(*v) for p, v in _sums(found).items()}
+    row = [own[b.at.path] for b in found]
+    fused: dict[int, list[float]] = {}
+    for k, b in enumerate(found):
+        near = row[max(0, k - 1) : k + 2]
+        fused.setdefault(b.at.path, []).append((2 * row[k] + sum(near) / len(near)) / 3)
+    score = {p: sum(v) / len(v) for p, v in fused.items()}
+    return score, 0.5 * sum(score[b.at.path] * b.chars for b in found) / sum(b.chars for b in found)
+
+
+def _elements(found: list[Block]) -> list[Element]:
+    """The elements that hold the blocks, each once, those above first."""
+    seen: dict[int, Element] = {}
+    for b in found:
+        e = b.at
+        while e is not None and e.number not in seen:
+            seen[e.number] = e
+            e = e.up
+    return [seen[k] for k in sorted(seen)]
+
+
+def _common(held: Counter[int], elements: list[Element]) -> Element:
+    """The lowest element that holds all of what elements hold by their numbers."""
+    total, within = sum(held.values()), Counter(held)
+    for e in reversed(elements):
+        if e.up is not None:
+            within[e.up.number] += within[e.number]
+    return next(e for e in reversed(elements) if within[e.number] == total)
+
+
 def main_blocks(found: list[Block]) -> list[Block]:
     """The blocks of the content node, by tag-path ratios."""
     everything = [b for b in found if not b.at.drop]
@@ -264,68 +332,61 @@ def main_blocks(found: list[Block]) -> list[Block]:
     #: Where most of the text is below such words, they say nothing.
     if 2 * sum(b.chars - b.links for b in some) < sum(b.chars - b.links for b in everything) or not some:
         some = everything
-    sums: dict[str, list[int]] = {}
-    for b in some:
-        own = sums.setdefault(b.at.path, [0, 0, 0, 0])
-        for k, v in enumerate((b.chars, len(_PUNCT.findall(b.text)), b.links, 1)):
-            own[k] += v
-    ratio = {p: log1p((chars - links) / n) * (1 + log1p(punct / n)) for p, (chars, punct, links, n) in sums.items()}
-    row = [ratio[b.at.path] for b in some]
-    smooth = [sum(row[max(0, k - 1) : k + 2]) / len(row[max(0, k - 1) : k + 2]) for k in range(len(row))]
-    fused: dict[str, list[float]] = {}
-    for b, own, near in zip(some, row, smooth, strict=True):
-        fused.setdefault(b.at.path, []).append((2 * own + near) / 3)
-    score = {p: sum(v) / len(v) for p, v in fused.items()}
-    weight = sum(b.chars for b in some)
-    threshold = 0.5 * sum(score[b.at.path] * b.chars for b in some) / weight
+    score, threshold = path_scores(some)
     content = [b for b in some if score[b.at.path] >= threshold]
-
-    def above(e: Element | None) -> list[Element]:
-        """The element and those above it, the page's first."""
-        out = []
-        while e is not None:
-            out.append(e)
-            e = e.up
-        return out[::-1]
+    elements = _elements(everything)
+    #: What each element is in: the outermost article or main, the outermost main.
+    root_of: dict[int, Element | None] = {}
+    main_of: dict[int, Element | None] = {}
+    for e in elements:
+        up = e.up.number if e.up else None
+        root_of[e.number] = root_of.get(up) or (e if e.name in ROOTS else None)
+        main_of[e.number] = main_of.get(up) or (e if e.name == "main" else None)
 
     #: Of the roots that hold content the outermost; main, where it holds much of it, says itself what is main.
-    total, mains, roots = sum(b.chars for b in content), {}, {}
+    total, mains, roots = sum(b.chars for b in content), Counter(), Counter()
     for b in content:
-        chain = above(b.at)
-        if e := next((e for e in chain if e.name in ROOTS), None):
-            roots[e.number] = roots.get(e.number, 0) + b.chars
-        if e := next((e for e in chain if e.name == "main"), None):
-            mains[e.number] = mains.get(e.number, 0) + b.chars
-    roots = mains if sum(mains.values()) >= 0.3 * total else roots if sum(roots.values()) >= 0.3 * total else {}
-    chains = [above(b.at) for b in content]
-    if roots:
-        chains = [c[: k + 1] for c in chains for k, e in enumerate(c) if e.number in roots]
-    shared = 0
-    while all(len(c) > shared for c in chains) and len({c[shared].number for c in chains}) == 1:
-        shared += 1
-    path = chains[0][:shared]
-    while path[-1].name in TEXT and len(path) > 1:
-        path.pop()
-    root, over = path[-1].number, {e.number for e in path}
+        for of, sums in ((root_of, roots), (main_of, mains)):
+            if e := of[b.at.number]:
+                sums[e.number] += b.chars
+    roots = mains if mains.total() >= 0.3 * total else roots if roots.total() >= 0.3 * total else Counter()
+    node = _common(roots or Counter(b.at.number for b in content), elements)
+    while node.name in TEXT and node.up is not None:
+        node = node.up
+    over, in_node, in_article, in_own = set(), {}, {}, {}
+    e = node
+    while e is not None:
+        over.add(e.number)
+        e = e.up
+    for e in elements:
+        up = e.up.number if e.up else None
+        in_node[e.number] = e is node or in_node.get(up, False)
+        in_article[e.number] = e.name == "article" or in_article.get(up, False)
 
     #: In the node an element that may be furniture is, if its text is mostly links or its paths' ratio is low.
     if len(some) < len(everything):
-        of: dict[int, list[float]] = {}
+        soft = {e.number: e for e in elements if e.soft is e}
+        of = {n: [0, 0, 0, 0] for n in soft}
         for b in everything:
-            for n in b.at.soft:
-                own = of.setdefault(n, [0, 0, 0, 0])
+            if b.at.soft:
                 for k, v in enumerate((b.chars, len(_PUNCT.findall(b.text)), b.links, 1)):
-                    own[k] += v
-        passed = {n for n, (chars, punct, links, k) in of.items() if links <= 0.3 * chars and log1p((chars - links) / k) * (1 + log1p(punct / k)) >= threshold}
-        some = [b for b in everything if not b.at.soft or all(n in passed for n in b.at.soft) and any(e.number == root for e in above(b.at))]
-        sums = {}
-        for b in some:
-            own = sums.setdefault(b.at.path, [0, 0, 0, 0])
-            own[0], own[2] = own[0] + b.chars, own[2] + b.links
-
-    linked = {p for p, (chars, _, links, _n) in sums.items() if links > 0.6 * chars}
-    chain_of = [above(b.at) for b in some]
-    inside = [any(e.number == root for e in c) for c in chain_of]
+                    of[b.at.soft.number][k] += v
+        for n in sorted(soft, reverse=True):  # those within count for those around them
+            if (up := soft[n].up) is not None and up.soft:
+                of[up.soft.number] = [x + y for x, y in zip(of[up.soft.number], of[n], strict=True)]
+        passed: dict[int, bool] = {}
+        for n in sorted(soft):
+            up = soft[n].up
+            chars, _, links, _ = of[n]
+            passed[n] = links <= 0.3 * chars and ratio(*of[n]) >= threshold and (up is None or up.soft is None or passed[up.soft.number])
+        some = [b for b in everything if not b.at.soft or passed[b.at.soft.number] and in_node[b.at.number]]
+
+    chars, links = Counter(), Counter()
+    for b in some:
+        chars[b.at.path] += b.chars
+        links[b.at.path] += b.links
+    linked = {p for p, n in chars.items() if links[p] > 0.6 * n}
+    inside = [in_node[b.at.number] for b in some]
     start, end = inside.index(True), len(inside) - 1 - inside[::-1].index(True)
     beside = lambda k: some[k].at.name in TEXT and some[k].at.up is not None and some[k].at.up.number in over
     level = lambda k: int(some[k].at.name[1]) if some[k].at.name in HEADINGS else 9
@@ -336,12 +397,12 @@ def main_blocks(found: list[Block]) -> list[Block]:
     top = min((level(k) for k in range(first) if some[k].at.path not in linked), default=9)
     if top < min(level(k) for k in range(first, end + 1)):
         first = max(k for k in range(first) if level(k) == top and some[k].at.path not in linked)
-    while end + 1 < len(some) and len(path) > 2 and beside(end + 1) and some[end + 1].at.up is path[-2]:
+    while end + 1 < len(some) and len(over) > 2 and beside(end + 1) and some[end + 1].at.up is node.up:
         end += 1
     #: Link lists go, but for those within an article or a main element without articles.
-    has_article = any(e.name == "article" and i for c, i in zip(chain_of, inside, strict=True) for e in c)
-    own = lambda c: any(e.name == "article" or e.name == "main" and not has_article for e in c)
-    return [b for k, b in enumerate(some) if first <= k <= end and (b.at.path not in linked or own(chain_of[k]))]
+    has_article = any(i and in_article[b.at.number] for b, i in zip(some, inside, strict=True))
+    own = lambda e: in_article[e.number] or not has_article and main_of[e.number] is not None
+    return [b for k, b in enumerate(some) if first <= k <= end and (b.at.path not in linked or own(b.at))]
 
 
 def main_text(page: str | None) -> str:

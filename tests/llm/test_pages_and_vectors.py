@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -276,3 +277,41 @@ def test_what_is_embedded_is_left_out():
     inner = "<button class=x><div>Label</div> more</button><svg><title>t</title><g><text>x</text></g></svg><select><option>One<option>Two</select><video><p>No video</p></video>"
     for one in (inner, "<button>a<br>b</button>", "<a href=x><svg><b>x</b></svg></a>", "<span><svg><path></span>", "<button><span>a</span><i>b</i></button>"):
         assert html_extract.main_text(f"<article><p>One {one} two.</p><p>{LONG}</p>{inner}</article>") in (f"One two.\n{BODY}", f"One x two.\n{BODY}"), one
+
+
+def plain_page(r):
+    """A page of div elements whose classes say nothing, and its main text."""
+    words = lambda k: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(k))
+    sentence = lambda: words(r.randint(6, 18)).capitalize() + r.choice([", " + words(4), ""]) + "."
+    link = lambda k: f"<a href=/{words(1)}>{words(k)}</a>"
+    menu = "<div class=m1>" + "".join(f"<div class=it>{link(r.randint(1, 2))}</div>" for _ in range(r.randint(3, 9))) + "</div>"
+    side = "<div class=r>" + "".join(f"<div class=t>{link(r.randint(3, 6))}</div>" for _ in range(r.randint(2, 6))) + "</div>"
+    low = "<div class=b>" + "".join(f"<span>{words(2)}</span> | {link(1)} " for _ in range(3)) + f"</div><div class=c>{words(3)}</div>"
+    body = [("h1", words(5))]
+    for k in range(r.randint(3, 9)):
+        body += [("h2", words(3))] * (k > 1 and r.random() < 0.25) + [("p", " ".join(sentence() for _ in range(r.randint(2, 7))))]
+    inner = "<div class=x1>" + "".join(f"<{t}>{x}</{t}>" for t, x in body) + "</div>"
+    middle = inner + side if r.random() < 0.5 else side + inner
+    return f"<html><body><div class=top><div class=l>{words(2)}</div>{menu}</div><div class=w>{middle}</div>{low}</body></html>", "\n".join(x for _, x in body)
+
+
+def test_ratios_find_the_text_where_tags_say_nothing(monkeypatch):
+    r = random.Random(2)
+    pages = [plain_page(r) for _ in range(200)]
+    right = lambda: sum(html_extract.main_text(page) == text for page, text in pages)
+    assert right() >= 196
+    monkeypatch.setattr(html_extract, "ratio", lambda *_: 1.0)
+    assert right() == 0
+
+
+def test_deep_and_long_pages_take_linear_time():
+    for page in ("<div>" * 50_000 + f"<p>{LONG}</p>", "<div>some text, here. " * 20_000, "<div><p>text, here.</x></p></a></ul>" * 10_000, f"<article><p>{LONG * 2000}</p></article>"):
+        began = time.perf_counter()
+        assert html_extract.main_text(page)
+        assert time.perf_counter() - began < 20
+
+
+def test_repeated_pages_are_extracted_each(spark):
+    rows = [(1, None, None), (1, "u", ""), (1, "u", f"<p>{LONG}</p>"), (1, "u", f"<p>{LONG}</p>"), (None, "u", "x")]
+    got = html_extract.extracted(spark.createDataFrame([(*x, "t", 3) for x in rows], "page_id long, url string, html string, text string, n_chars int")).collect()
+    assert sorted((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in got) == [(0, "u", "x", 1), (1, "", "", 0), (1, "u", "", 0), (1, "u", BODY, len(BODY)), (1, "u", BODY, len(BODY))]
