@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgewire.functions.ids import quoted
@@ -71,12 +73,44 @@ def intel_verdict(found: Column, confidence: Column) -> Column:
 def stamp(df: DataFrame, verdicts: DataFrame, name: str, prefix: str = "triage", columns: tuple[str, ...] = ("verdict", "reason", "confidence")) -> DataFrame:
     """Left join of one verdict per value. Verdicts of several rows for a value: the worst, then the most confident.
     The optimiser broadcasts the verdicts where their size allows it."""
-    rank = F.when(F.col("verdict") == "MALICIOUS", 3).when(F.col("verdict") == "SUSPICIOUS", 2).when(F.col("verdict").isNotNull(), 1).otherwise(0)
-    best = Window.partitionBy("value").orderBy(rank.desc(), *(F.col(c).desc_nulls_last() for c in columns if c in verdicts.columns and c != "verdict"))
-    one = verdicts.withColumn("rn_", F.row_number().over(best)).where("rn_ = 1")
+    one = best_verdicts(verdicts, ["value"], columns)
     have = [c for c in columns if c in verdicts.columns]
     right = one.select(F.col("value").alias("on_"), *(F.col(c).alias(f"{prefix}.{c}") for c in have), F.lit(True).alias(f"{prefix}.checked"))
-    return df.join(right, quoted(name) == F.col("on_"), "left").drop("on_")
+    return df.withColumn("key_", spread(quoted(name), df)).join(right, F.col("key_") == F.col("on_"), "left").drop("on_", "key_")
+
+
+def best_verdicts(verdicts: DataFrame, by: list[str], columns: tuple[str, ...]) -> DataFrame:
+    """One verdict for each key: the worst, then the most confident. Partial maxima, so a hot key is no burden."""
+    rank = F.when(F.col("verdict") == "MALICIOUS", 3).when(F.col("verdict") == "SUSPICIOUS", 2).when(F.col("verdict").isNotNull(), 1).otherwise(0)
+    order = [rank, *(F.col(c) for c in columns if c in verdicts.columns and c != "verdict")]
+    row = F.max_by(F.struct(*verdicts.columns), F.struct(*order))
+    return verdicts.groupBy(*by).agg(row.alias("row_")).select("row_.*")
+
+
+def spread(key: Column, df: DataFrame) -> Column:
+    """A key to join by, in whose place rows without one have many that fit nothing; so they do not meet in one task."""
+    plain = [quoted(f.name) for f in df.schema if f.dataType.simpleString() in ("string", "bigint", "int", "timestamp", "timestamp_ntz", "double")]
+    return F.coalesce(key.cast("string"), F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*plain) if plain else F.lit(0), F.lit(4096)).cast("string")))
+
+
+def stamp_any(df: DataFrame, verdicts: DataFrame, fields: dict[str, tuple[str, ...]] | None = None, prefix: str = "threat_intel", columns: tuple[str, ...] = ("verdict", "confidence")) -> DataFrame:
+    """Stamps rows of which any field of a verdict's type holds its value (type, value, verdict, ...). Of several the
+    worst counts, then the most confident. What rows had before stays where none fits."""
+    have = [c for c in columns if c in verdicts.columns]
+    one = best_verdicts(verdicts.where("value is not null"), ["type", "value"], columns)
+    rank = F.when(F.col("verdict") == "MALICIOUS", 3).when(F.col("verdict") == "SUSPICIOUS", 2).when(F.col("verdict").isNotNull(), 1).otherwise(0)
+    out, found = df, []
+    for t, names in (fields or IOC_FIELDS).items():
+        right = one.where(F.col("type") == t).select(F.col("value").alias("on_"), F.struct(rank.alias("rank"), *(F.col(c) for c in have if c != "verdict"), "verdict", F.lit(t).alias("type"), F.col("value")).alias("v_"))
+        for name in names:
+            if name in df.columns:
+                k = f"v{len(found)}_"
+                out = out.withColumn("key_", spread(quoted(name), df)).join(right.withColumnsRenamed({"on_": f"on{k}", "v_": k}), F.col("key_") == F.col(f"on{k}"), "left").drop("key_", f"on{k}")
+                found.append(F.col(k))
+    worst = F.array_max(F.array_compact(F.array(*found))) if found else None
+    put = {f"{prefix}.{c}": worst[c] for c in have} | {f"{prefix}.ioc_type": worst["type"], f"{prefix}.checked": F.lit(True)} if found else {}
+    put = {k: F.when(worst.isNotNull(), v).otherwise(quoted(k)) if k in df.columns else F.when(worst.isNotNull(), v) for k, v in put.items()}
+    return out.select(*(quoted(c) for c in df.columns if c not in put), *(v.alias(k) for k, v in put.items()))
 
 
 def normal_host(x: Column) -> Column:
@@ -91,21 +125,89 @@ def resolve_hosts(df: DataFrame, aliases: DataFrame, name: str = "host.name") ->
     return out.withColumn("host.id", F.coalesce("canonical", quoted(name))).drop("alias_", "canonical")
 
 
-def similarity(a: Column, b: Column) -> Column:
-    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
-
-
-def propose_hosts(names: DataFrame, hosts: DataFrame, least: float = 0.85) -> DataFrame:
-    """(name, canonical, score): the closest canonical of (canonical) for each name, exact first, ties alphabetical.
-    Only lengths that allow the score are compared: candidates meet on their length."""
-    n = names.select("name", normal_host(F.col("name")).alias("n_")).distinct()
-    n = n.withColumn("len_", F.explode(F.sequence(F.ceil(F.length("n_") * least).cast("int"), F.floor(F.length("n_") / least).cast("int"))))
-    h = hosts.select("canonical", normal_host(F.col("canonical")).alias("h_")).distinct().withColumn("len_", F.length("h_"))
-    longest = F.greatest(F.length("n_"), F.length("h_"), F.lit(1))
-    edits = F.call_function("levenshtein", F.col("n_"), F.col("h_"), F.floor((1 - least) * longest + 1e-9).cast("int"))  # -1: more than that
-    both = n.join(h, "len_").withColumn("edits", edits).where("edits >= 0").withColumn("score", 1 - F.col("edits") / longest).where(F.col("score") >= least - 1e-12)
-    best = Window.partitionBy("name").orderBy(F.desc("score"), "canonical")
-    return both.withColumn("rn_", F.row_number().over(best)).where("rn_ = 1").select("name", "canonical", "score")
+# What triage tools put after a host's name.
+TRIAGE_SUFFIXES = ("-triage", "_triage")
+
+
+def bare_host(x: Column, domains: list[str] | tuple[str, ...] = ()) -> Column:
+    """A host's name without a triage suffix and without one of the domains, the longest that fits."""
+    out = F.regexp_replace(normal_host(x), f"(?:{'|'.join(TRIAGE_SUFFIXES)})$", "")
+    ends = "|".join(re.escape(d.lower().lstrip(".")) for d in domains if d.strip("."))
+    return F.regexp_replace(out, rf"\.(?:{ends})$", "") if ends else out
+
+
+def _dealt(df: DataFrame, name: str) -> DataFrame:
+    """df's distinct rows over as many tasks as there are cores or shuffle partitions: few rows, but much work for each."""
+    spark = df.sparkSession
+    return df.distinct().repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), name)
+
+
+def _grams(df: DataFrame, name: str) -> DataFrame:
+    """df (name, length) with its grams: pairs of neighbouring characters, ends marked, each with its number among equals."""
+    text = F.concat(F.lit("\x01"), F.col(name), F.lit("\x02"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda k: F.substring(text, k, F.lit(2)))
+    numbered = df.withColumn("pairs_", pairs)
+    each = F.transform("pairs_", lambda g, k: F.struct(g.alias("gram"), F.size(F.filter(F.slice("pairs_", F.lit(1), k + 1), lambda x: x == g)).alias("number"), k.alias("at")))
+    return numbered.select(*df.columns, F.explode(each).alias("g")).select(*df.columns, "g.*")
+
+
+def _most_edits(length: Column, least: float) -> Column:
+    return F.floor((1 - least) * length + 1e-9).cast("int")
+
+
+def _without(x: Column, some: Column) -> Column:
+    """The distinct strings that are left of x without one character, or, if `some` is 2, without one or two; and x."""
+    cut = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda k: F.concat(F.substring(s, F.lit(1), k - 1), F.substring(s, k + 1, F.length(s))))
+    one = F.when((some > 0) & (F.length(x) > 0), F.array_distinct(cut(x))).otherwise(F.array().cast("array<string>"))
+    two = F.when((some > 1) & (F.length(x) > 1), F.array_distinct(F.flatten(F.transform(one, cut)))).otherwise(F.array().cast("array<string>"))
+    return F.concat(F.array(x), one, two)
+
+
+def _by_deletions(asked: DataFrame, known: DataFrame, least: float, longest: int) -> DataFrame:
+    """Pairs of names of at most `longest` characters, where two edits are allowed at most: two names within k edits are
+    equal when up to k characters are left out of each."""
+    some = lambda c: F.least(F.lit(2), _most_edits(F.least(F.lit(longest), F.floor(F.length(c) / least)), least))
+    short = lambda df, c: df.where(F.length(c) <= longest).withColumn("left_", F.explode(_without(F.col(c), some(c))))
+    return short(asked, "n_").join(short(known, "h_"), "left_").select("name", "n_", "canonical", "h_")
+
+
+def _by_grams(asked: DataFrame, known: DataFrame, least: float, longest: int) -> DataFrame:
+    """Pairs of names of which one has more than `longest` characters: two names within k edits share one of the 2k + 1
+    grams of each that are rarest among the canonicals, at places at most k apart."""
+    lengths = F.sequence(F.ceil(F.length("n_") * least).cast("int"), F.floor(F.length("n_") / least).cast("int"))
+    known = known.withColumn("length", F.length("h_"))
+    #: Lengths of host names are few, so what has no partner of a fitting length goes first.
+    asked = asked.withColumn("length", F.explode(F.filter(lengths, lambda x: F.greatest(x, F.length("n_")) > longest)))
+    asked = asked.join(F.broadcast(known.select("length").distinct()), "length")
+    of_known = _grams(known.join(F.broadcast(asked.select("length").distinct()), "length"), "h_")
+    often = of_known.groupBy("gram", "number").agg(F.count("*").alias("often"))
+
+    def rarest(grams: DataFrame, name: str, key: str) -> DataFrame:
+        most = _most_edits(F.floor(F.length(name) / least), least)
+        found = grams.join(often, ["gram", "number"], "left").groupBy(key, name, "length")
+        rows = found.agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram", "number", "at"))), F.lit(1), 2 * most + 1).alias("few"))
+        return rows.select(key, name, "length", F.explode("few").alias("g")).where("g.often > 0").select(key, name, "length", "g.gram", "g.number", F.col("g.at").alias(f"{name}at"))
+
+    both = rarest(_grams(asked, "n_"), "n_", "name").join(rarest(of_known, "h_", "canonical"), ["gram", "number", "length"])
+    return both.where(F.abs(F.col("n_at") - F.col("h_at")) <= _most_edits(F.greatest(F.length("n_"), F.length("h_")), least)).select("name", "n_", "canonical", "h_")
+
+
+def propose_hosts(names: DataFrame, hosts: DataFrame, least: float = 0.85, domains: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """(name, canonical, score): the closest canonical of (canonical) for each name, by the names without suffixes and
+    domains, exact first, ties alphabetical. Names that allow two edits at most meet on what deletions leave of them, longer
+    ones on rare grams; only such pairs are compared, by a bounded edit distance."""
+    longest = max((n for n in range(1, 64) if int((1 - least) * n + 1e-9) <= 2), default=1)
+    known = hosts.select("canonical", bare_host(F.col("canonical"), domains).alias("h_")).where("h_ <> ''")
+    asked = names.select("name", bare_host(F.col("name"), domains).alias("n_")).where("n_ <> ''")
+    known, asked = _dealt(known, "h_"), _dealt(asked, "n_")
+    exact = asked.join(known, F.col("n_") == F.col("h_")).groupBy("name").agg(F.min("canonical").alias("canonical")).withColumn("score", F.lit(1.0))
+    asked = asked.join(known.select(F.col("h_").alias("n_")), "n_", "left_anti")
+    both = _by_deletions(asked, known, least, longest).unionByName(_by_grams(asked, known, least, longest))
+    most = F.greatest(F.length("n_"), F.length("h_"))
+    both = both.withColumn("edits", F.call_function("levenshtein", F.col("n_"), F.col("h_"), _most_edits(most, least))).where("edits >= 0")  # -1: more than that
+    both = both.withColumn("score", 1 - F.col("edits") / most).where(F.col("score") >= least - 1e-12)
+    best = both.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "canonical")).alias("best"))
+    return exact.unionByName(best.select("name", F.col("best.canonical").alias("canonical"), (-F.col("best.s")).alias("score")))
 
 
 def fix_host(df: DataFrame, raw: str, new: str) -> DataFrame:

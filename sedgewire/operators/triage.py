@@ -5,11 +5,12 @@ distinct and uncapped, and each kind is stamped by one join."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sedgewire.functions.ids import quoted
+from sedgewire.operators.enrich import best_verdicts, spread
 
 # Artifacts and the column that holds a file's path; event ids of a process start and a new service.
 FILE_FIELDS = {"shimcache": "Path", "amcache": "FullPath", "evtx": "process.name", "tasks": "task.command", "vol-dlllist": "Path"}
@@ -65,15 +66,13 @@ def questions(df: DataFrame) -> DataFrame:
 def answered(df: DataFrame, verdicts: DataFrame) -> DataFrame:
     """Rows with triage.verdict, .reason, .confidence, .lolbin and .checked, where a verdict fits. Of several kinds the
     last of KINDS counts, of several verdicts for a value the worst; what a row had before stays where none fits."""
-    rank = F.when(F.col("verdict") == "MALICIOUS", 3).when(F.col("verdict") == "SUSPICIOUS", 2).otherwise(1)
-    best = Window.partitionBy("kind", "value").orderBy(rank.desc(), F.desc_nulls_last("confidence"), F.asc_nulls_last("reason"))
     fields = ("verdict", "reason", "confidence", "lolbin")
-    one = verdicts.where("verdict is not null").withColumn("rn_", F.row_number().over(best)).where("rn_ = 1")
+    one = best_verdicts(verdicts.where("verdict is not null"), ["kind", "value"], ("verdict", "confidence", "reason"))
     before = [c for c in df.columns if c.startswith("triage.")]
     out, by = df, keys(df)
     for kind in KINDS:
         right = one.where(F.col("kind") == kind).select(F.col("value").alias(f"{kind}_on_"), F.struct(*fields).alias(f"{kind}_v_"))
-        out = out.withColumn(f"{kind}_k_", by[kind][1]).join(right, F.col(f"{kind}_k_") == F.col(f"{kind}_on_"), "left").drop(f"{kind}_k_", f"{kind}_on_")
+        out = out.withColumn(f"{kind}_k_", spread(by[kind][1], df)).join(right, F.col(f"{kind}_k_") == F.col(f"{kind}_on_"), "left").drop(f"{kind}_k_", f"{kind}_on_")
     answer = F.coalesce(*(F.col(f"{k}_v_") for k in reversed(KINDS)))
     put = {f"triage.{f}": answer[f] for f in fields} | {"triage.checked": F.when(answer.isNotNull(), F.lit(True))}
     put = {k: F.when(answer.isNotNull(), v).otherwise(quoted(k)) if k in before else v for k, v in put.items()}

@@ -264,7 +264,7 @@ def _matches(c: Column, kind: T.DataType, analysed: bool, t: Token) -> Column:
             words = [re.escape(w) for w in re.findall(r"\w+", _text(t).lower())]
             if t.kind == "word" and _wild(t.text):
                 words = ["".join({"*": r"\w*", "?": r"\w"}.get(x, re.escape(x)) for x in t.text.lower())]
-            return F.lower(c).rlike(r"(?<!\w)" + r"\W+".join(words) + r"(?!\w)") if words else F.lit(False)
+            return F.lower(c).rlike(r"(?U)(?<!\w)" + r"\W+".join(words) + r"(?!\w)") if words else F.lit(False)
         if t.kind == "word" and _wild(t.text):
             inner = t.text.strip("*")
             if not _wild(inner) and "\\" not in inner:

@@ -181,9 +181,9 @@ def parse_ssh(spark, d):
     return out.select("event_id", F.col("`@timestamp`").cast("timestamp_ntz").alias("ts"), F.col("`ssh.event_type`").alias("event_type"), F.col("`user.name`").alias("user_name"), F.col("`source.port`").alias("port"))
 
 
-@_query("select event_id, date_trunc('second', last_value(case when event_id % 2 = 0 then ts end ignore nulls) over (partition by user_id order by event_id)) as ts, case when event_id % 3 = 0 then 'detection_add' else 'exclusion_added' end as event_type, case when event_id % 3 = 0 then 'Name' || user_id end as threat from events qualify last_value(case when event_id % 2 = 0 then ts end ignore nulls) over (partition by user_id order by event_id) is not null and event_id % 3 < 2")
+@_query("select event_id, date_trunc('second', last_value(case when event_id % 2 = 0 then ts end ignore nulls) over (partition by user_id order by event_id)) as ts, case when event_id % 3 = 0 then 'detection' else 'exclusion_added' end as event_type, case when event_id % 3 = 0 then 'Name' || user_id end as threat from events qualify event_id % 3 < 2")
 def parse_defender(spark, d):
-    body = "case event_id % 3 when 0 then concat('DETECTION_ADD Trojan:Win32/Name', user_id, '!x file:C:/a') when 1 then 'Exclusion added: C:/tmp' else 'noise' end"
+    body = "case event_id % 3 when 0 then concat('DETECTION Trojan:Win32/Name', user_id, '!x file:C:/a') when 1 then 'Added exclusion: C:/tmp' else 'noise' end"
     line = f"concat(case when event_id % 2 = 0 then concat(date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\"), 'Z ') else '' end, {body})"
     raw = table(spark, d, "events").select(F.col("user_id").cast("string").alias("file"), F.col("event_id").alias("line_no"), F.expr(line).alias("line"))
     return lines.defender(raw).select(F.col("line_no").alias("event_id"), F.col("`@timestamp`").cast("timestamp_ntz").alias("ts"), F.col("`defender.event_type`").alias("event_type"), F.col("`defender.threat_name`").alias("threat"))
@@ -309,10 +309,12 @@ def host_resolve(spark, d):
     return enrich.resolve_hosts(df, spark.sql(_ALIAS_SPARK)).select("doc_id", F.col("`host.id`").alias("host_id"))
 
 
-@_query("with n as (select distinct c_name as name, lower(trim(c_name)) as a from customer), h as (select distinct s_name as canonical, lower(trim(replace(s_name, 'Supplier', 'Customer'))) as b from supplier), s as (select name, canonical, 1 - levenshtein(a, b) / greatest(length(a), length(b), 1) as score from n, h) select name, replace(canonical, 'Supplier', 'Customer') as canonical, round(score, 6) as score from s where score >= 0.85 qualify row_number() over (partition by name order by score desc, canonical) = 1")
+@_query("with n as (select distinct c_name || case when c_custkey % 3 = 0 then '.Corp.Example.' when c_custkey % 3 = 1 then '-triage' else '' end as name, lower(trim(c_name)) as a from customer), h as (select distinct s_name as canonical, lower(trim(replace(s_name, 'Supplier', 'Customer'))) as b from supplier), s as (select name, canonical, 1 - levenshtein(a, b) / greatest(length(a), length(b), 1) as score from n, h) select name, replace(canonical, 'Supplier', 'Customer') as canonical, round(score, 6) as score from s where score >= 0.85 qualify row_number() over (partition by name order by score desc, canonical) = 1")
 def host_propose(spark, d):
     hosts = table(spark, d, "supplier").select(F.regexp_replace("s_name", "Supplier", "Customer").alias("canonical"))
-    return enrich.propose_hosts(table(spark, d, "customer").select(F.col("c_name").alias("name")), hosts).withColumn("score", F.round("score", 6))
+    tail = F.when(F.col("c_custkey") % 3 == 0, F.lit(".Corp.Example.")).when(F.col("c_custkey") % 3 == 1, F.lit("-triage")).otherwise(F.lit(""))
+    names = table(spark, d, "customer").select(F.concat("c_name", tail).alias("name"))
+    return enrich.propose_hosts(names, hosts, domains=("corp.example",)).withColumn("score", F.round("score", 6))
 
 
 @_query("select doc_id, case when source = 'src1' then 'fixed' when doc_id % 2 = 0 then source end as host_id from documents")

@@ -8,7 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgewire.functions.ids import content_id, natural_or_content_id, quoted
+from sedgewire.functions.ids import content_id, natural_id, natural_or_content_id, quoted, short_hash
 from sedgewire.functions.timeparse import parse_time
 
 
@@ -46,6 +46,12 @@ MEMORY_TIMES = {
     "windows.pslist": "CreateTime", "windows.pstree": "CreateTime", "windows.psscan": "CreateTime", "windows.netscan": "Created", "windows.netstat": "Created",
     "windows.dlllist": "LoadTime", "windows.registry.userassist": "Last Write Time", "windows.shimcachemem": "LastModified",
 }
+# The fields that identify a plugin's rows.
+MEMORY_KEYS = {
+    "windows.pslist": ("PID", "CreateTime"), "windows.pstree": ("PID", "CreateTime"), "windows.netscan": ("LocalAddr", "LocalPort", "ForeignAddr", "ForeignPort", "PID"),
+    "windows.netstat": ("LocalAddr", "LocalPort", "ForeignAddr", "ForeignPort", "PID"), "windows.svcscan": ("Name", "PID"), "windows.cmdline": ("PID",), "windows.dlllist": ("PID", "Base", "Name"),
+    "windows.handles": ("PID", "Offset(V)"), "windows.modules": ("Base", "Name"), "windows.registry.hivelist": ("Offset(V)",),
+}
 # The kinds of handles that are kept.
 HANDLE_TYPES = ("File", "Key", "Mutant", "Event", "Section", "ALPC Port", "Directory", "SymbolicLink", "Thread", "Process")
 # Event ids of the reduced set.
@@ -142,3 +148,15 @@ def tool_rows(df: DataFrame, tool: str, index: Column) -> DataFrame:
     out = df.withColumn("index_name", index).withColumn("@timestamp", ts)
     same = natural_or_content_id(F.col("index_name"), key, df.columns) if key else content_id(F.col("index_name"), df.columns)
     return out.withColumn("_id", same)
+
+
+def with_memory_id(df: DataFrame, index: Column) -> DataFrame:
+    """Identity of memory records (plugin, record): the plugin's key where all of it is there, else the whole record."""
+    same = short_hash(F.concat_ws("\x1f", index, F.to_json("record")))
+    for plugin, names in MEMORY_KEYS.items():
+        parts = [F.try_variant_get("record", f"$['{n}']", "string") for n in names]
+        whole = F.col("plugin") == plugin
+        for p in parts:
+            whole = whole & (F.coalesce(p, F.lit("")) != "")
+        same = F.when(whole, natural_id(index, *parts)).otherwise(same)
+    return df.withColumn("index_name", index).withColumn("_id", same)

@@ -12,28 +12,30 @@ from sedgewire.functions.ids import quoted
 from sedgewire.functions.timeparse import access_log_time, parse_time
 
 # The combined and common log formats, ten groups; SSH messages; Defender lines.
-ACCESS = r'^(\S+) \S+ (\S+) \[([^\]]+)\] "([A-Z]+) (\S+)(?: HTTP/([0-9.]+))?" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?\s*$'
+ACCESS = r'^(\S+) \S+ (\S+) \[([^\]]+)\] "(\S+) (\S+)(?: (\S+))?" (\d{3}) (\d+|-)(?: "([^"]*)" "([^"]*)")?'
 SSH = r"^(\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}:\d{2}(?:\.\d+)?) .*?sshd(?:\[\d+\])?: (.*)$"
 SSH_ACCEPTED = r"^Accepted (\S+) for (\S+) from (\S+) port (\d+)"
 SSH_FAILED = r"^Failed (\S+) for (\S+) from (\S+) port (\d+)"
-DEFENDER_TIME = r"^(\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:?\d{2})?)\s+(.*)$"
-DEFENDER_DETECTION = r"(?i)\bDETECTION(?:_ADD|_EVENT)?\s+([A-Za-z]+):([A-Za-z0-9]+)/([A-Za-z0-9._-]+)(?:!([A-Za-z0-9._-]+))?\s*(.*)$"
-DEFENDER_LEGACY = r"(?i)\bDETECTION_(CLEAN|DELETE)(?:EVENT)?\s+(\S+)(?:\s+(.*))?$"
-DEFENDER_EXCLUSION = r"(?i)\bexclusion\w*\s+(added|removed)\s*:?\s*(.+)$"
+DEFENDER_TIME = r"^(\d{4}-\d{2}-\d{2}T[\d:.]+(?:Z|[+-]\d{2}:?\d{2})?)\s+(.+)$"
+DEFENDER_DETECTION = r"\bDETECTION\s+([A-Za-z]+):([^/\s]+)/([^\s!]+)(?:!(\w+))?(?:\s+(.+))?"
+DEFENDER_LEGACY = r"DETECTION[_\s]*(ADD|CLEAN|DELETE).*?Name[:\s]*(.+?)(?:#|$)"
+DEFENDER_ADDED = r"(?i)(?:Adding|Added)\s+exclusion[:\s]*(.+)"
+DEFENDER_REMOVED = r"(?i)(?:Removing|Removed)\s+exclusion[:\s]*(.+)"
+DEFENDER_TYPE = r"ThreatType[:\s]*(.+?)(?:#|\s|$)"
+DEFENDER_FILE = r"(?i)(?:file|path)[:\s]*(.+?)(?:#|\s*$)"
+DEFENDER_CONTEXT = {"process.executable": r"(?i)^behavior:process:\s*(.+?)(?:,\s*pid:\d+)?,?$", "file.path": r"(?i)^file:\s*(.+)$", "registry.key": r"(?i)^regkey:\s*(.+)$", "defender.task_name": r"(?i)^taskscheduler:\s*(.+)$"}
+DEFENDER_PID = r"(?i)^behavior:process:.*,\s*pid:(\d+)$"
 # The columns of a bodyfile.
 BODYFILE = ("md5", "name", "inode", "mode_as_string", "uid", "gid", "size", "atime", "mtime", "ctime", "crtime")
 
 
-def pin_splits(spark: SparkSession) -> None:
-    """A scan that a plan reads twice has to be split alike, though executors come and go in between."""
-    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
-        spark.conf.set("spark.sql.files.minPartitionNum", str(spark.sparkContext.defaultParallelism))
-
-
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """file, block, line_no, line of UTF-8 files of any size. A block is a split of a file; its lines are numbered in
     their own task, and each block needs only the number of lines before it."""
-    pin_splits(spark)
+    #: A scan that a plan reads twice has to be split alike, though executors come and go in between.
+    pin = "spark.sql.files.minPartitionNum"
+    if spark.conf.get(pin, None) is None:
+        spark.conf.set(pin, str(spark.sparkContext.defaultParallelism))
     rows = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at_"), F.col("value").alias("line")
     )
@@ -127,29 +129,49 @@ def ssh(df: DataFrame, zone: str | None) -> DataFrame:
 
 
 def defender(df: DataFrame, zone: str | None = None) -> DataFrame:
-    """Detections and exclusions of (file, line_no, line). A line without a time has that of the last line with one; times
-    without an offset need `zone`, or their lines are left out."""
-    stamped = F.col("line").rlike(DEFENDER_TIME)
-    rows = _filled(df, "ts_", F.when(stamped, _group(F.col("line"), DEFENDER_TIME, 1)))
-    body = F.when(stamped, _group(F.col("line"), DEFENDER_TIME, 2)).otherwise(F.col("line"))
-    rows = rows.withColumn("body_", body)
+    """Detections, present and older form, and exclusions of (file, line_no, line). A line without a time has that of the
+    last line with one, or none before the first; times without an offset need `zone`, or their lines are left out."""
+    line = F.trim(F.regexp_replace("line", r"^\s+|\s+$", ""))
+    timed = line.rlike(DEFENDER_TIME)
+    rows = _filled(df, "ts_", F.when(timed, _group(line, DEFENDER_TIME, 1))).withColumn("body_", F.when(timed, _group(line, DEFENDER_TIME, 2)).otherwise(line))
     offset = F.col("ts_").rlike(r"(?:Z|[+-]\d{2}:?\d{2})$")
-    rows = rows.where(offset | F.lit(zone is not None)).withColumn("@timestamp", parse_time(F.col("ts_"), zone or "UTC"))
+    rows = rows.where(F.col("ts_").isNull() | offset | F.lit(zone is not None)).withColumn("@timestamp", parse_time(F.col("ts_"), zone or "UTC"))
     b = F.col("body_")
-    found, legacy, moved = b.rlike(DEFENDER_DETECTION), b.rlike(DEFENDER_LEGACY), b.rlike(DEFENDER_EXCLUSION)
-    what = F.when(found, F.lit("detection_add")).when(legacy, F.concat(F.lit("detection_"), F.lower(_group(b, DEFENDER_LEGACY, 1)))).when(moved, F.concat(F.lit("exclusion_"), F.lower(_group(b, DEFENDER_EXCLUSION, 1))))
-    threat = lambda k: F.when(found, _given(_group(b, DEFENDER_DETECTION, k)))
+    found = b.rlike(DEFENDER_DETECTION)
+    legacy = ~found & b.rlike(DEFENDER_LEGACY)
+    added = ~found & ~legacy & b.rlike(DEFENDER_ADDED)
+    removed = ~found & ~legacy & ~added & b.rlike(DEFENDER_REMOVED)
+    what = F.when(found, F.lit("detection")).when(legacy, F.concat(F.lit("detection_"), F.lower(_group(b, DEFENDER_LEGACY, 1)))).when(added, F.lit("exclusion_added")).when(removed, F.lit("exclusion_removed"))
+    threat = lambda k: F.when(found, _given(F.trim(_group(b, DEFENDER_DETECTION, k))))
     context = threat(5)
+    of = lambda k: _given(F.trim(_group(context, DEFENDER_CONTEXT[k], 1)))
+    old = lambda pattern, k=1: F.when(legacy, _given(F.trim(_group(b, pattern, k))))
     return rows.withColumn("defender.event_type", what).where("`defender.event_type` is not null").select(
         "file", "line_no", "@timestamp", "`defender.event_type`", threat(1).alias("defender.detection_category"), threat(2).alias("defender.platform"),
-        F.coalesce(threat(3), F.when(legacy, _group(b, DEFENDER_LEGACY, 2))).alias("defender.threat_name"), threat(4).alias("defender.variant"), context.alias("defender.detection_context"),
-        _given(F.regexp_extract(context, r"^file:(?:_)?(.+)$", 1)).alias("file.path"), _given(F.regexp_extract(context, r"^regkey:(?:_)?(.+)$", 1)).alias("registry.key"),
-        _given(F.regexp_extract(context, r"^taskscheduler:(?:_)?(.+)$", 1)).alias("defender.task_name"),
-        _given(F.regexp_extract(context, r"^behavior:process:\s*(.+?)(?:,\s*pid:.*)?$", 1)).alias("process.executable"), F.regexp_extract(context, r"pid:(\d+)", 1).try_cast("int").alias("process.pid"),
-        F.when(moved, F.trim(_group(b, DEFENDER_EXCLUSION, 2))).alias("defender.exclusion_path"), F.col("line").alias("defender.raw_line"),
+        F.coalesce(threat(3), old(DEFENDER_LEGACY, 2)).alias("defender.threat_name"), old(DEFENDER_TYPE).alias("defender.threat_type"), threat(4).alias("defender.variant"), context.alias("defender.detection_context"),
+        F.coalesce(of("file.path"), old(DEFENDER_FILE)).alias("file.path"), of("registry.key").alias("registry.key"), of("defender.task_name").alias("defender.task_name"),
+        of("process.executable").alias("process.executable"), _group(context, DEFENDER_PID, 1).try_cast("int").alias("process.pid"),
+        F.when(added, F.trim(_group(b, DEFENDER_ADDED, 1))).when(removed, F.trim(_group(b, DEFENDER_REMOVED, 1))).alias("defender.exclusion_path"), b.alias("defender.raw_line"),
     )
 
 
+def _named(names: Column, cells: Column) -> Column:
+    """A map of names to cells; of a name given twice the last cell counts."""
+    once = F.array_distinct(names)
+    last = lambda n: F.get(cells, (F.size(names) - F.array_position(F.reverse(names), n)).cast("int"))
+    return F.map_from_arrays(once, F.transform(once, last))
+
+
+def zeek_log(df: DataFrame) -> DataFrame:
+    """Zeek logs of (file, line_no, line): a map of the columns that the last `#fields` named, unset and empty ones left
+    out, and the time of `ts`. Rows of another width are left out."""
+    line = F.col("line")
+    rows = _filled(df, "names_", F.when(line.startswith("#fields\t"), F.split(F.substring(line, 9, 1 << 20), "\t", -1))).withColumn("cells_", F.split("line", "\t", -1))
+    rows = rows.where(~line.startswith("#") & (F.trim(line) != "") & (F.size("cells_") == F.size("names_")))
+    fields = F.map_filter(_named(F.col("names_"), F.col("cells_")), lambda _, v: ~v.isin("-", "(empty)", ""))
+    return rows.withColumn("fields", fields).select("file", "line_no", parse_time(F.try_element_at("fields", F.lit("ts"))).alias("@timestamp"), F.try_element_at("fields", F.lit("id.orig_h")).alias("source.ip"), F.try_element_at("fields", F.lit("id.resp_h")).alias("destination.ip"), "fields")
+
+
 def w3c(df: DataFrame, zone: str | None = "UTC") -> DataFrame:
     """W3C extended logs of (file, line_no, line): a map of the fields that the last `#Fields:` named, dashes left out,
     with times and addresses beside it. data_seq counts all data lines, also those of another width, which are left out.
@@ -159,7 +181,7 @@ def w3c(df: DataFrame, zone: str | None = "UTC") -> DataFrame:
     rows = _numbered(rows.where(~line.startswith("#") & (F.trim(line) != "")), "data_seq")
     rows = rows.withColumn("cells_", F.split(F.trim(line), r"\s+"))
     rows = rows.where(F.col("names_").isNotNull() & (F.size("cells_") == F.size("names_")) & F.lit(zone is not None))
-    rows = rows.withColumn("fields", F.map_filter(F.map_from_arrays("names_", "cells_"), lambda _, v: v != "-"))
+    rows = rows.withColumn("fields", F.map_filter(_named(F.col("names_"), F.col("cells_")), lambda _, v: v != "-"))
     f = F.col("fields")
     time = parse_time(F.concat_ws("T", F.try_element_at(f, F.lit("date")), F.try_element_at(f, F.lit("time"))), zone or "UTC")
     either = lambda *k: F.coalesce(*(F.try_element_at(f, F.lit(x)) for x in k))

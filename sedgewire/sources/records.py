@@ -19,8 +19,10 @@ def event_records(df: DataFrame) -> DataFrame:
     code = F.coalesce(get("System.EventID['#text']"), get("System.EventID")).try_cast("int")
     data = F.try_variant_get(v, "$.Event.EventData", "map<string,variant>")
     user = F.try_variant_get(v, "$.Event.UserData", "map<string,variant>")
-    wrapped = F.try_variant_get(F.get(F.map_values(user), F.lit(0)), "$", "map<string,variant>")
-    payload = F.map_filter(F.when(F.size(data) > 0, data).otherwise(F.coalesce(wrapped, user)), lambda k, _: k != "#attributes")
+    #: The wrapper is the first key of the text; a variant's keys are sorted.
+    first = F.get(F.json_object_keys(F.get_json_object("data", "$.Event.UserData")), F.lit(0))
+    wrapped = F.try_variant_get(F.try_element_at(user, first), "$", "map<string,variant>")
+    payload = F.map_filter(F.when(F.size(data) > 0, data).otherwise(F.coalesce(F.map_filter(wrapped, lambda k, _: k != "#attributes"), user)), lambda k, _: k != "#attributes")
     text = lambda x: F.try_variant_get(x, "$", "string")
     scalar = lambda x: F.when(F.schema_of_variant(x) == "BOOLEAN", F.initcap(text(x))).otherwise(text(x))
     rows = rows.withColumn("winlog.event_data", F.transform_values(payload, lambda _, x: scalar(x)))
@@ -90,7 +92,7 @@ def sniff_delimited(head: list[str]) -> dict:
     widths = [len(next(csv.reader([x], delimiter=sep))) for x in lines]
     if min(widths) < 2 or max(widths) - min(widths) > max(widths) // 2:
         return {"format": "unknown"}
-    return {"format": "tsv" if sep == "\t" else "csv", "delimiter": sep}
+    return {"format": {"\t": "tsv", "|": "pipe"}.get(sep, "csv"), "delimiter": sep}
 
 
 def sniff_json(head: str) -> str:
@@ -104,30 +106,46 @@ def sniff_json(head: str) -> str:
         return "unknown"
     try:
         json.loads(line)
-        return "jsonl" if len([x for x in head.splitlines() if x.strip()]) > 1 else "json_single"
+        return "jsonl"
     except ValueError:
         return "json_single"
 
 
+# The first folder below `tasks` of tasks that belong to the system or to well-known vendors.
+SYSTEM_TASKS = ("Microsoft", "MicrosoftEdge", "GoogleUpdate", "Adobe", "OneDrive", "CCleaner")
+_TASK = (
+    "RegistrationInfo struct<Date:string,Author:string,Description:string>, Actions struct<Exec:array<struct<Command:string,Arguments:string>>>, "
+    "Principals struct<Principal:array<struct<UserId:string,RunLevel:string>>>, Settings struct<Enabled:string>, Triggers string, _bad string"
+)
+
+
 def scheduled_tasks(df: DataFrame, zone: str | None = None) -> DataFrame:
-    """Task definitions (path, xml), whatever their namespace; one row per file."""
-    plain = F.regexp_replace(F.regexp_replace("xml", r"<\?xml[^>]*\?>", ""), r"\sxmlns(?::\w+)?=\"[^\"]*\"", "")
-    rows = df.withColumn("x_", plain)
-    get = lambda p: F.nullif(F.trim(F.xpath_string("x_", F.lit(p))), F.lit(""))
-    date = get("//RegistrationInfo/Date")
-    after = F.lower(F.regexp_extract(F.replace("path", F.lit("\\"), F.lit("/")), r"(?i)(?:^|/)tasks/([^/]+)", 1))
+    """Task definitions (path, xml), whatever their namespace; one row per file, none for a file that is no XML."""
+    text = F.regexp_replace(F.regexp_replace("xml", r"^\uFEFF", ""), r"<\?xml[^>]*\?>", "")
+    options = {"mode": "PERMISSIVE", "ignoreNamespace": "true", "columnNameOfCorruptRecord": "_bad", "rowTag": "Task"}
+    rows = df.withColumn("x_", text).where("x_ rlike '<'").withColumn("t_", F.from_xml("x_", _TASK, options)).where("t_ is not null and t_._bad is null")
+    get = lambda p: F.nullif(F.trim(F.col("t_." + p)), F.lit(""))
+    exec_, who = F.get("t_.Actions.Exec", F.lit(0)), F.get("t_.Principals.Principal", F.lit(0))
+    of = lambda x, name: F.nullif(F.trim(x[name]), F.lit(""))
+    date, enabled = get("RegistrationInfo.Date"), get("Settings.Enabled")
+    path = F.replace(F.col("path"), F.lit("\\"), F.lit("/"))
+    after = F.regexp_extract(path, r"(?i)(?:^|/)tasks/([^/]+)", 1)
     time = F.when(date.rlike(r"(?:Z|[+-]\d{2}:\d{2})$") | F.lit(zone is not None), parse_time(date, zone or "UTC"))
+    triggers = F.regexp_extract_all(F.regexp_extract("x_", r"(?s)<(?:\w+:)?Triggers>(.*?)</(?:\w+:)?Triggers>", 1), F.lit(r"<(?:\w+:)?(\w+Trigger)\b"), 1)
     return rows.select(
-        "path", time.alias("@timestamp"), get("//RegistrationInfo/Author").alias("task.author"), get("//RegistrationInfo/Description").alias("task.description"), get("//Actions/Exec[1]/Command").alias("task.command"),
-        get("//Actions/Exec[1]/Arguments").alias("task.arguments"), get("//Principals/Principal[1]/UserId").alias("task.user_id"), get("//Principals/Principal[1]/RunLevel").alias("task.run_level"),
-        F.regexp_extract_all(F.regexp_extract("x_", r"(?s)<Triggers>(.*?)</Triggers>", 1), F.lit(r"<(\w+Trigger)\b"), 1).alias("task.trigger_types"),
-        (F.coalesce(F.lower(get("//Settings/Enabled")), F.lit("true")) == "true").alias("task.enabled"), (after == "microsoft").alias("task.is_system"), F.col("xml").alias("task.xml"),
+        "path", time.alias("@timestamp"), get("RegistrationInfo.Author").alias("task.author"), get("RegistrationInfo.Description").alias("task.description"), of(exec_, "Command").alias("task.command"),
+        of(exec_, "Arguments").alias("task.arguments"), of(who, "UserId").alias("task.user_id"), of(who, "RunLevel").alias("task.run_level"), triggers.alias("task.trigger_types"),
+        F.when(enabled.isNotNull(), F.lower(enabled) == "true").alias("task.enabled"), F.regexp_extract(path, r"[^/]*$", 0).alias("task.name"), after.isin(*SYSTEM_TASKS).alias("task.is_system"), F.col("xml").alias("task.xml"),
     )
 
 
 def error_reports(df: DataFrame) -> DataFrame:
-    """Error reports (path, modified, text): key=value lines; the time is the file's."""
-    pairs = F.map_from_entries(F.transform(F.filter(F.split("text", r"\r?\n"), lambda x: x.contains("=")), lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)), F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))))))
+    """Error reports (path, modified, text): key=value lines, of a key given twice the last; the time is the file's."""
+    pairs = F.transform(F.filter(F.split(F.regexp_replace("text", "^\uFEFF", ""), r"\r?\n"), lambda x: x.contains("=")), lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.substring(x, F.instr(x, "=") + 1, F.length(x))).alias("v")))
     rows = df.withColumn("kv_", pairs)
-    of = lambda k: F.try_element_at("kv_", F.lit(k))
-    return rows.select("path", F.col("modified").alias("@timestamp"), of("EventType").alias("wer.event_type"), of("Sig[0].Value").alias("process.name"), of("Sig[1].Value").alias("wer.app_version"), of("Sig[6].Value").alias("wer.exception_code"), of("DynamicSig[1].Value").alias("wer.os_version"))
+    of = lambda k: F.try_element_at(F.filter("kv_", lambda x: x["k"] == k), F.lit(-1))["v"]
+    parts = F.split(F.replace(F.col("path"), F.lit("\\"), F.lit("/")), "/")
+    return rows.select(
+        "path", F.col("modified").alias("@timestamp"), of("EventType").alias("wer.event_type"), of("Sig[0].Value").alias("process.name"), of("Sig[1].Value").alias("wer.app_version"),
+        of("Sig[6].Value").alias("wer.exception_code"), of("DynamicSig[1].Value").alias("wer.os_version"), F.try_element_at(parts, F.lit(-2)).alias("wer.report_dir"), F.col("text").alias("wer.full_text"),
+    )

@@ -29,7 +29,6 @@ USER_PATHS = {
     "shellbags": ("",), "jumplists": ("AppData/Roaming/Microsoft/Windows/Recent",), "lnk": ("AppData/Roaming/Microsoft/Windows/Recent", "Desktop"), "timeline": ("AppData/Local/ConnectedDevicesPlatform",),
 }
 VOLUME_MARK = "Windows/System32/config"
-MOST_DEPTH = 50
 
 
 @F.pandas_udf(T.StringType())
@@ -86,12 +85,11 @@ def transcripts(df: DataFrame, zone: str | None = None) -> DataFrame:
     return out.where("`@timestamp` is not null")
 
 
-def _flat(text: str | None) -> Iterator[tuple[int, str, str | None]]:
-    """Depth, JSON and type of each record of a plugin's output, parents before their children; children below
-    MOST_DEPTH stay out."""
+def _flat(text: str | None, most_depth: int | None = None) -> Iterator[tuple[int, str, str | None]]:
+    """Depth, JSON and type of each record of a plugin's output, parents before their children, to any depth or to most_depth."""
     try:
         raw = json.loads(text or "")
-    except ValueError:
+    except (ValueError, RecursionError):
         return
     if isinstance(raw, dict):
         names = [c["name"] for c in raw.get("columns", [])]
@@ -102,20 +100,20 @@ def _flat(text: str | None) -> Iterator[tuple[int, str, str | None]]:
         if not isinstance(record, dict):
             continue
         children = record.pop("__children", None) or []
-        if depth < MOST_DEPTH:
+        if most_depth is None or depth < most_depth:
             todo.extend((depth + 1, c) for c in reversed(children))
         kind = record.get("Type")
         yield depth, json.dumps(record, ensure_ascii=False), kind if isinstance(kind, str) else None
 
 
-def memory_records(df: DataFrame) -> DataFrame:
+def memory_records(df: DataFrame, most_depth: int | None = None) -> DataFrame:
     """Memory plugin output (plugin, text) as flat records: plugin, artifact, seq, depth, @timestamp, record (a variant).
     Handles of kinds that say little are left out, as is output that is no JSON."""
 
     def flatten(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for plugin, text in zip(batch["plugin"], batch["text"], strict=True):
-                found = [(plugin, k, d, r, t) for k, (d, r, t) in enumerate(_flat(text))]
+                found = [(plugin, k, d, r, t) for k, (d, r, t) in enumerate(_flat(text, most_depth))]
                 yield pd.DataFrame(found, columns=["plugin", "seq", "depth", "json", "kind"])
 
     flat = df.select("plugin", "text").mapInPandas(flatten, "plugin string, seq long, depth int, json string, kind string")

@@ -101,7 +101,7 @@ def test_sniffers():
     assert records.sniff_delimited(["#separator \\x09", "#fields\ta"])["format"] == "zeek"
     assert records.sniff_delimited(["0|/x|1|r|0|0|5|1|2|3|4"])["format"] == "bodyfile"
     assert records.sniff_delimited(["Permission is granted, free of charge, to any person", "obtaining a copy"])["format"] == "unknown"
-    assert [records.sniff_json(x) for x in ('{"a":1}\n{"a":2}', "[1]", '{"a":1}', '{\n"a":1}', "x", "")] == ["jsonl", "json_array", "json_single", "json_single", "unknown", "unknown"]
+    assert [records.sniff_json(x) for x in ('{"a":1}\n{"a":2}', "[1]", '{"a":1}', '{\n"a":1}', "x", "")] == ["jsonl", "json_array", "jsonl", "json_single", "unknown", "unknown"]
 
 
 def test_json_lines_with_unstable_types(spark):
