@@ -13,6 +13,13 @@ from pyspark.sql import types as T
 from sedgewire.functions.ids import quoted
 from sedgewire.plans.querylang import Fields, compile_query, fields_of
 
+# Fields that a search leaves out, as others hold the same, or they are long or say little.
+COMPACT_DROP = (
+    "ExtraFieldInfo", "Payload", "FilesLoaded", "Directories", "task.xml", "wer.full_text", "SourceFile", "Computer", "ExtraDataOffset", "HiddenRecord", "Keywords", "ChunkNumber", "pipeline_version",
+    "prov.source_file", "prov.audit_id", "prov.parse_method", "UpdateSequenceNumber", "LogfileSequenceNumber", "SecurityId", "ReferenceCount", "NameType", "IsAds", "Is256", "RecordNumber", "EventRecordId",
+    "ProcessId", "ThreadId", "UserId",
+)
+MOST_FIELDS = 150
 MOST_HITS, MOST_OFFSET, MOST_BUCKETS, MOST_CHARS = 200, 10_000, 500, 500
 
 
@@ -69,7 +76,7 @@ def get_event(df: DataFrame, doc_id, id_column: str = "_id") -> DataFrame:
     return df.where(quoted(id_column) == F.lit(doc_id)).limit(1)
 
 
-def compact(df: DataFrame, drop: tuple[str, ...] = (), most: int = MOST_CHARS) -> DataFrame:
+def compact(df: DataFrame, drop: tuple[str, ...] = COMPACT_DROP, most: int = MOST_CHARS) -> DataFrame:
     """Long strings cut to `most` characters and dots; `_truncated` names the columns that were."""
     df = df.drop(*drop)
     strings = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
@@ -129,6 +136,14 @@ def summary(df: DataFrame, artifact: str = "artifact", host: str = "host.name",
     )
 
 
+def catalogue(df: DataFrame, artifact: str = "artifact", most: int = MOST_FIELDS) -> DataFrame:
+    """(artifact, fields, n_fields): the fields that hold anything in rows of an artifact, sorted, the first `most` named."""
+    names = sorted(c for c in df.columns if c != artifact)
+    seen = df.groupBy(quoted(artifact).alias("artifact")).agg(*(F.max(quoted(c).isNotNull()).alias(f"f{k}") for k, c in enumerate(names)))
+    found = F.array_compact(F.array(*(F.when(F.col(f"f{k}"), F.lit(c)) for k, c in enumerate(names))))
+    return seen.select("artifact", F.slice(found, 1, most).alias("fields"), F.size(found).alias("n_fields"))
+
+
 def union_all(*tables: DataFrame) -> DataFrame:
     """What a list of partitions or a wildcard reads: all rows, columns matched by name."""
     out = tables[0]

@@ -4,15 +4,18 @@ The last group holds Spark's own relational operators; they are features of the
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sedgewire.functions import ids, timeparse, validators
-from sedgewire.operators import enrich, search, store, triage
+from sedgewire.functions.zones import resolve_zone
+from sedgewire.operators import enrich, hosts, runs, search, store, triage
 from sedgewire.plans.querylang import compile_query, fields_of
-from sedgewire.sources import catalog, lines, records, whole
+from sedgewire.sources import catalog, folder, lines, records, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -39,6 +42,17 @@ def _values(rows: list[tuple], names: str) -> tuple[str, str]:
     return f"select * from values {text(True)} as t({names})", f"(select * from (values {text(False)}) t({names}))"
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share, below the checkpoint folder or the warehouse; it goes with the application."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        root = "file://" + tempfile.gettempdir() if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
+    path = f"{root.rstrip('/')}/sedgewire-{name}-{uuid.uuid4().hex}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
 # Read tools.
 
 
@@ -459,6 +473,178 @@ def tool_rows(spark, d):
     return out.select("o_orderkey", F.col("`@timestamp`").cast("timestamp_ntz").alias("ts"), "_id")
 
 
+# Files of each kind, written from the tables and read back.
+
+
+@_query("select event_id::varchar as event_id, 'WS' || user_id as host_name, 'h' || user_id as source_host, date_trunc('second', ts) as ts, case when event_id % 3 = 0 then '' else 'a, \"b\"' end as note from events")
+def parse_delimited(spark, d):
+    path = scratch(spark, "csv")
+    note = F.when(F.col("event_id") % 3 == 0, F.lit(None)).otherwise(F.lit('a, "b"'))
+    rows = table(spark, d, "events").select(F.col("event_id").cast("string"), F.concat(F.lit("WS"), "user_id").alias("Computer"), F.concat(F.lit("h"), "user_id").alias("host"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("Timestamp_"), note.alias("note"))
+    rows.withColumnRenamed("Timestamp_", "timestamp").write.options(header=True, escape='"').csv(path)
+    out = records.delimited(spark, path)
+    return out.select("event_id", F.col("`host.name`").alias("host_name"), "source_host", F.col("`@timestamp`").cast("timestamp_ntz").alias("ts"), "note")
+
+
+@_query("select event_id, user_id::varchar as source_host, event_type, ts from (select event_id, user_id, event_type, date_trunc('second', ts) as ts from events) where event_id % 10 <> 0")
+def parse_json_lines(spark, d):
+    path = scratch(spark, "jsonl")
+    inner = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"), "event_id", F.col("user_id").cast("string").alias("host"), "event_type")
+    line = F.when(F.col("event_id") % 10 == 0, F.lit("no json")).when(F.col("event_id") % 3 == 0, F.to_json(F.struct(inner.alias("_source")))).otherwise(F.to_json(inner))
+    table(spark, d, "events").select(line.alias("value")).write.text(path)
+    out = records.json_lines(lines.numbered_lines(spark, path), "h")
+    get = lambda k, t="string": F.try_variant_get("doc", f"$.{k}", t)
+    return out.select(get("event_id", "bigint").alias("event_id"), "source_host", get("event_type").alias("event_type"), F.col("`@timestamp`").cast("timestamp_ntz").alias("ts"))
+
+
+@_query("select (event_id - 1)::bigint as line_no, event_id::varchar as uid, case when user_id % 4 = 0 then null else 'u' || user_id end as orig, date_trunc('second', ts) as ts from (select row_number() over (order by event_id) as event_id, user_id, ts from events)")
+def parse_zeek_log(spark, d):
+    """The header's own field names, line by line of a file that is read in splits."""
+    rows = table(spark, d, "events").withColumn("k", F.row_number().over(Window.orderBy("event_id")))
+    head = spark.range(1).select(F.lit("f").alias("file"), F.lit(-1).cast("long").alias("line_no"), F.lit("#fields\tts\tuid\tid.orig_h").alias("line"))
+    line = F.concat_ws("\t", F.unix_timestamp(F.col("ts").cast("timestamp")), "k", F.when(F.col("user_id") % 4 == 0, F.lit("-")).otherwise(F.concat(F.lit("u"), "user_id")))
+    out = lines.zeek_log(head.union(rows.select(F.lit("f"), (F.col("k") - 1).cast("long"), line)))
+    return out.select("line_no", F.try_element_at("fields", F.lit("uid")).alias("uid"), F.col("`source.ip`").alias("orig"), F.col("`@timestamp`").cast("timestamp_ntz").alias("ts"))
+
+
+@_query("select o_orderkey, 'CORP/' || o_custkey as author, 'c' || o_orderkey || '.exe' as command, case when o_orderkey % 2 = 0 then 'HighestAvailable' end as run_level, 'CalendarTrigger,LogonTrigger' as triggers, case when o_orderkey % 3 = 0 then false end as enabled, o_orderkey % 5 = 0 as is_system, 't' || o_orderkey as name from orders where o_orderkey % 7 <> 0")
+def parse_tasks(spark, d):
+    xml = F.concat(
+        F.lit('<?xml version="1.0"?><Task xmlns="http://schemas.microsoft.com/windows/2004/02/mit/task"><RegistrationInfo><Author>CORP/'), F.col("o_custkey"), F.lit("</Author></RegistrationInfo><Triggers><CalendarTrigger/><LogonTrigger></LogonTrigger></Triggers>"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.lit("<Principals><Principal><RunLevel>HighestAvailable</RunLevel></Principal></Principals>")).otherwise(F.lit("")),
+        F.when(F.col("o_orderkey") % 3 == 0, F.lit("<Settings><Enabled>False</Enabled></Settings>")).otherwise(F.lit("")), F.lit("<Actions><Exec><Command>c"), F.col("o_orderkey"), F.lit(".exe</Command></Exec></Actions>"),
+        F.when(F.col("o_orderkey") % 7 == 0, F.lit("<broken>")).otherwise(F.lit("")), F.lit("</Task>"),
+    )
+    path = F.concat(F.lit("C:\\Windows\\System32\\Tasks\\"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("Microsoft\\")).otherwise(F.lit("Other\\")), F.lit("t"), F.col("o_orderkey"))
+    out = records.scheduled_tasks(table(spark, d, "orders").select("o_orderkey", path.alias("path"), xml.alias("xml")))
+    of = lambda k: F.col(f"`task.{k}`").alias(k)
+    return out.select(F.substring(F.col("`task.name`"), 2, 20).cast("long").alias("o_orderkey"), of("author"), of("command"), of("run_level"), F.array_join(F.col("`task.trigger_types`"), ",").alias("triggers"), of("enabled"), of("is_system"), of("name"))
+
+
+@_query("select 'r' || s_suppkey as report_dir, 'p' || s_suppkey || '.exe' as process, '1.' || s_nationkey as version, case when s_suppkey % 2 = 0 then 'SECOND' else 'APPCRASH' end as event_type from supplier")
+def parse_wer(spark, d):
+    text = F.concat(F.lit("Version=1\r\nEventType=APPCRASH\r\nSig[0].Value=p"), F.col("s_suppkey"), F.lit(".exe\r\nSig[1].Value = 1."), F.col("s_nationkey"), F.when(F.col("s_suppkey") % 2 == 0, F.lit("\r\nEventType=SECOND")).otherwise(F.lit("\r\nnothing")))
+    out = records.error_reports(table(spark, d, "supplier").select(F.concat(F.lit("/v/r"), "s_suppkey", F.lit("/Report.wer")).alias("path"), F.lit(None).cast("timestamp").alias("modified"), text.alias("text")))
+    return out.select(F.col("`wer.report_dir`").alias("report_dir"), F.col("`process.name`").alias("process"), F.col("`wer.app_version`").alias("version"), F.col("`wer.event_type`").alias("event_type"))
+
+
+@_query("select user_id, event_type, max(event_id) as event_id, 'case-c-' || event_type || '-h' || user_id % 3 as index_name from events where event_type <> 'click' group by 1, 2")
+def upsert_latest(spark, d):
+    """Two upserts of the same identities, then the partitions of a pattern."""
+    path = scratch(spark, "table")
+    rows = table(spark, d, "events").select("event_id", "user_id", "event_type", F.lit("c").alias("case_id"), F.col("event_type").alias("artifact"), F.concat(F.lit("h"), F.col("user_id") % 3).alias("host_part"), F.col("event_id").alias("ingest_seq"))
+    index = ids.index_name(F.col("case_id"), F.col("artifact"), F.col("host_part"))
+    rows = rows.withColumn("index_name", index).withColumn("_id", ids.natural_id(index, F.col("user_id")))
+    store.upsert(spark, path, rows.where("event_id % 2 = 0"))
+    store.upsert(spark, path, rows.where("event_id % 2 = 1 or event_id % 10 = 0"))
+    out = store.read_case(spark, path, "case-c-*")
+    return out.where("artifact <> 'click'").select("user_id", "event_type", "event_id", "index_name")
+
+
+@_query("select event_id from events where event_id % 5 = 0 or (ts >= timestamp '2024-01-05' and ts <= timestamp '2024-01-09')")
+def ingest_time_filter(spark, d):
+    ts = F.when(F.col("event_id") % 5 != 0, F.col("ts").cast("timestamp"))
+    return table(spark, d, "events").where(timeparse.within(ts, "2024-01-05 00:00:00", "2024-01-09 00:00:00")).select("event_id")
+
+
+@_query("select event_id, date_trunc('second', ts) - interval 3 hours as utc from events")
+def zone_shift(spark, d):
+    text = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return table(spark, d, "events").select("event_id", timeparse.parse_time(text, resolve_zone("arab standard time")).cast("timestamp_ntz").alias("utc"))
+
+
+@_query("select event_id from events where event_id % 3 <> 0 and event_type <> 'click'")
+def field_exists(spark, d):
+    rows = table(spark, d, "events").withColumn("threat.verdict", F.when(F.col("event_id") % 3 != 0, F.lit("x")))
+    return search.matching(rows, "threat.verdict:* AND NOT event_type:click").select("event_id")
+
+
+@_query("select event_id, case event_id % 4 when 0 then 'a' || user_id when 1 then 'b' when 2 then 'n' || user_id else null end as host from events")
+def host_fields(spark, d):
+    k = F.col("event_id") % 4
+    record = F.when(k == 0, F.to_json(F.struct(F.lit("b").alias("Computer"), F.concat(F.lit(" a"), "user_id").alias("Host")))).when(k == 1, F.lit('{"Host":" ","Computer":"b"}'))
+    record = record.when(k == 2, F.to_json(F.struct(F.struct(F.concat(F.lit("n"), "user_id").alias("Hostname")).alias("ClientInfo"), F.lit(5).alias("Host")))).otherwise(F.lit('{"host.name":"flat"}'))
+    return table(spark, d, "events").withColumn("r", F.parse_json(record)).select("event_id", hosts.host_of(table(spark, d, "events"), "r").alias("host"))
+
+
+@_query("select p_partkey, case when p_partkey % 2 = 0 then 'Windows/x' || p_partkey else 'y' || p_partkey end as path from part")
+def evidence_paths(spark, d):
+    full = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit("file:/mnt/c/Windows/x"), "p_partkey")).otherwise(F.concat(F.lit("/elsewhere/y"), "p_partkey"))
+    return table(spark, d, "part").select("p_partkey", folder.relative_path(full, "/mnt/c/").alias("path"))
+
+
+@_query("select event_type as artifact, case when event_type = 'click' then 'c,event_id,ts' else 'event_id,ts,value' end as fields, 3::integer as n_fields from events group by 1")
+def field_catalogue(spark, d):
+    click = F.col("event_type") == "click"
+    rows = table(spark, d, "events").select(F.col("event_type").alias("artifact"), "event_id", "ts", F.when(~click, F.col("value")).alias("value"), F.when(click, F.lit(1)).alias("c"), F.lit(None).cast("string").alias("never"))
+    return search.catalogue(rows).withColumn("fields", F.array_join("fields", ","))
+
+
+@_query(
+    """with v as (select event_id, case when user_id % 7 = 0 then '8.8.8.' || user_id % 50 end as a, case when event_id % 11 = 0 then '8.8.8.' || event_id % 50 end as b from events),
+    w as (select event_id, case when a is not null and split_part(a, '.', 4)::int % 2 = 0 then 2 when a is not null then 1 else 0 end as x, case when b is not null and split_part(b, '.', 4)::int % 2 = 0 then 2 when b is not null then 1 else 0 end as y from v)
+    select event_id, case greatest(x, y) when 2 then 'MALICIOUS' when 1 then 'SUSPICIOUS' end as verdict, case when greatest(x, y) > 0 then true end as checked from w"""
+)
+def ioc_stamp_any(spark, d):
+    rows = table(spark, d, "events").select("event_id", F.when(F.col("user_id") % 7 == 0, F.concat(F.lit("8.8.8."), F.col("user_id") % 50)).alias("source.ip"), F.when(F.col("event_id") % 11 == 0, F.concat(F.lit("8.8.8."), F.col("event_id") % 50)).alias("destination.ip"))
+    verdicts = spark.range(50).select(F.lit("ip").alias("type"), F.concat(F.lit("8.8.8."), "id").alias("value"), F.when(F.col("id") % 2 == 0, "MALICIOUS").otherwise("SUSPICIOUS").alias("verdict"), F.lit(90).alias("confidence"))
+    return enrich.stamp_any(rows, verdicts).select("event_id", F.col("`threat_intel.verdict`").alias("verdict"), F.col("`threat_intel.checked`").alias("checked"))
+
+
+@_query("select 'ip' as type, '10.1.' || user_id || '.1' as value, false as valid from events group by 2 union all select 'hash', md5(event_type), true from events group by 2")
+def ioc_questions(spark, d):
+    """What is not checked yet, each value once."""
+    rows = table(spark, d, "events").select(F.concat(F.lit("10.1."), "user_id", F.lit(".1")).alias("source.ip"), F.md5(F.col("event_type").cast("binary")).alias("MD5"), F.when(F.col("user_id") < 0, F.lit(True)).alias("threat_intel.checked"))
+    return enrich.indicators(rows).select("type", "value", "valid")
+
+
+@_query("select distinct 'host' as kind, 'u' || user_id as value, case when user_id % 2 = 0 then 'first' else 'second' end as verdict from events")
+def lookup_resumed(spark, d):
+    path = scratch(spark, "verdicts")
+    asked = table(spark, d, "events").select(F.lit("host").alias("kind"), F.concat(F.lit("u"), "user_id").alias("value"), "user_id")
+    say = lambda what: lambda q: q.withColumn("verdict", F.lit(what))
+    runs.lookup(spark, path, asked.where("user_id % 2 = 0"), say("first"))
+    return runs.lookup(spark, path, asked, say("second"))
+
+
+@_query("select lower(event_type) as name, case when event_type = 'click' then 'CLICK' else min(event_type) end as canonical, case when event_type = 'click' then 'mapped' else 'new' end as how from events group by event_type")
+def host_classify(spark, d):
+    names = table(spark, d, "events").select(F.col("event_type").alias("name"))
+    return hosts.classify(names, spark.createDataFrame([("Click.", "CLICK")], "alias string, canonical string")).select("name", "canonical", "how")
+
+
+@_query("select event_id, case event_id % 3 when 0 then 'stub' when 1 then 'netsh' else 'service' end as kind, case event_id % 3 when 0 then 's' || user_id when 1 then 'h' || user_id || '.DLL' else 'v' || user_id end as value from events where event_id % 3 < 2 or event_id % 2 = 0")
+def triage_autostarts(spark, d):
+    """Set-up stubs, network helpers and installed services, by the kind that each row asks about."""
+    k = F.col("event_id") % 3
+    rows = table(spark, d, "events").select(
+        "event_id", F.when(k == 2, F.lit("evtx")).otherwise(F.lit("registry")).alias("artifact"), F.when(k == 0, F.lit("HKLM\\Active Setup\\Installed Components\\x")).when(k == 1, F.lit("HKLM\\NetSh")).alias("KeyPath"),
+        F.when(k == 0, F.concat(F.lit("s"), "user_id")).alias("StubPath"), F.when(k == 1, F.concat(F.lit("h"), "user_id", F.lit(".DLL"))).alias("ValueData"), F.lit("v").alias("ValueName"),
+        F.when(F.col("event_id") % 2 == 0, 7045).otherwise(1).alias("event.code"), F.when(k == 2, F.create_map(F.lit("ServiceName"), F.concat(F.lit("v"), "user_id"))).alias("winlog.event_data"),
+    )
+    asked = triage.keys(rows)
+    each = F.array(*(F.struct(F.lit(x).alias("kind"), asked[x][0].alias("value")) for x in ("stub", "netsh", "service")))
+    return rows.select("event_id", F.explode(each).alias("q")).select("event_id", "q.*").where("value is not null")
+
+
+@_query("select event_type as artifact, count(*) as docs, count(*) filter (where value > 50) as checked, count(*) filter (where value > 90) as suspicious, 0::bigint as malicious from events group by 1")
+def triage_counters(spark, d):
+    rows = table(spark, d, "events").select(F.col("event_type").alias("artifact"), (F.col("value") > 50).alias("triage.checked"), F.when(F.col("value") > 90, F.lit("SUSPICIOUS")).alias("triage.verdict"))
+    return triage.counters(rows)
+
+
+@_query("select n_nationkey, substr(sha256('case-a-vol-pslist-h:' || n_nationkey || ':2024-01-01'), 1, 20) as _id from nation")
+def memory_ids(spark, d):
+    rows = table(spark, d, "nation").select("n_nationkey", F.lit("windows.pslist").alias("plugin"), F.parse_json(F.to_json(F.struct(F.col("n_nationkey").alias("PID"), F.lit("2024-01-01").alias("CreateTime")))).alias("record"))
+    return catalog.with_memory_id(rows, F.lit("case-a-vol-pslist-h")).select("n_nationkey", "_id")
+
+
+@_query("select 'case-x-Security.evtx' || n_nationkey as path, 69632::bigint + n_nationkey as length from nation where n_nationkey % 2 = 0 and n_nationkey < 0 union all select '/l/Security.evtx', 69632::bigint + n_nationkey from nation where n_nationkey >= 10")
+def reduced_logs(spark, d):
+    rows = table(spark, d, "nation").select(F.lit("/l/Security.evtx").alias("path"), F.when(F.col("n_nationkey") >= 10, F.col("n_nationkey") + 69632).otherwise(F.col("n_nationkey")).cast("long").alias("length"))
+    return catalog.reduced_logs(rows.union(rows.withColumn("path", F.lit("/l/Nothing%4Else.evtx"))))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A compiled query, its terms and its timeline in one table."""
     e = table(spark, sf_dir, "events")

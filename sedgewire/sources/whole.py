@@ -37,7 +37,7 @@ def _decoded(content: pd.Series) -> pd.Series:
     return content.map(lambda x: x.decode(next((name for mark, name in kinds.items() if x.startswith(mark)), "utf-8"), "replace"))
 
 
-def whole_files(spark: SparkSession, path: str) -> DataFrame:
+def whole_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """path, modified, text of each file, decoded by its byte order mark (UTF-16 or UTF-8) or as UTF-8; bytes that do
     not fit read as U+FFFD."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
@@ -141,10 +141,10 @@ def json_documents(df: DataFrame) -> DataFrame:
     return rows.withColumn("@timestamp", parse_time(time))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, modified and SHA-256 of every file below path."""
+def manifest(spark: SparkSession, path: str, audit_id: str | None = None) -> DataFrame:
+    """path, length, modified and SHA-256 of every file below path, and the id of the ingest that read it, if given."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"))
+    return files.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), *([F.lit(audit_id).alias("audit_id")] if audit_id else []))
 
 
 def _below(folder: str, path: str) -> str | None:
