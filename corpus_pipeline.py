@@ -45,7 +45,8 @@ STAGES = [
     ("best_fit_packing", best_fit_packing),
 ]
 
-#: Packing rests on a tokenizer, which SQL cannot express; the tests hold run() against a brute-force version.
+#: Packing rests on a tokenizer, which SQL cannot express. The tests hold the stages up to MinHash against brute force, and
+#: mixing and packing against their targets and sums.
 ORACLE_SQL = None
 
 
