@@ -166,6 +166,13 @@ def test_lines(spark, docs):
             assert r.kept_text == "\n".join(x for k, x in enumerate(r.text.split("\n")) if k not in set(r.removed))
 
 
+def test_nothing_hangs_on_broadcasts(spark, docs, monkeypatch):
+    lines = lambda: Counter((r.doc_id, tuple(r.removed)) for r in line_dedup.dedup_lines(docs).collect())
+    before = lines()
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    assert lines() == before
+
+
 def test_keep_lines_shape(spark, docs, empty):
     out = line_dedup.keep_lines(docs)
     assert out.columns == docs.columns and out.dtypes == docs.dtypes
