@@ -38,6 +38,9 @@ BATCH, MISS = 16, 1e-9
 FEW = 24
 #: Shingles in a side of a tile, on average.
 TILE_SHINGLES = 300_000
+#: Buckets that fill no tile are cut too, into sides of at least so many members, but into at most so many sides: several
+#: tasks share their pairs, and no member travels more often than that for it.
+TILE_MEMBERS, SPREAD = 128, 8
 _SEEDS = mix64(np.arange(1, 2 * HASHES + 1, dtype=U) * U(0x9E3779B97F4A7C15))
 _MULT, _PLUS = _SEEDS[:HASHES] | U(1), _SEEDS[HASHES:]
 
@@ -230,7 +233,8 @@ def _linked(documents: DataFrame, percent: int, width: int, *marks: str) -> tupl
         more = verified(possible(stage(pairs.select("a", "b").distinct(), "pairs")))
         if not many.isEmpty():
             many = many.join(classes.select("node", "size"), "node")
-            blocks = many.groupBy("bucket").agg(F.ceil(F.sum("size") / TILE_SHINGLES).cast("int").alias("blocks"))
+            spread = F.least(F.ceil(F.count("*") / TILE_MEMBERS), F.lit(SPREAD))
+            blocks = many.groupBy("bucket").agg(F.greatest(F.ceil(F.sum("size") / TILE_SHINGLES), spread).cast("int").alias("blocks"))
             tiled = many.join(blocks, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             sets = full_sets(many.select("node"))
             tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(sigs, "node").join(sets, "node")
