@@ -33,6 +33,8 @@ from sedgewire.llm.common import WORD, guarded, if_small, row_marks, running, st
 
 BLOCK_WORDS = 512
 SHARD_BLOCKS = 4096
+#: Shards that one task writes.
+TASK_SHARDS = 16
 RANGE = 2_000
 #: Sources that are split together, and shards that one task walks to.
 GROUP, CHUNK = 512, 256
@@ -153,10 +155,11 @@ def split_quotas(sources: DataFrame, shards: int, seed: int) -> DataFrame:
 
 class Mix:
     """sizes: the documents with rid, size, source_size, target. blocks: every drawn block with its shard (rid, doc_id,
-    sid, pass, block, words, shard, place, mark1_, mark2_); place orders a shard, the marks tell a row by its columns."""
+    sid, pass, block, words, shard, place, mark1_, mark2_); place orders a shard, the marks tell a row by its columns.
+    shards: their number."""
 
-    def __init__(self, sizes: DataFrame, blocks: DataFrame):
-        self.sizes, self.blocks = sizes, blocks
+    def __init__(self, sizes: DataFrame, blocks: DataFrame, shards: int):
+        self.sizes, self.blocks, self.shards = sizes, blocks, shards
 
 
 _MARKS = ("mark1_", "mark2_")
@@ -217,7 +220,7 @@ def mix(documents: DataFrame, weights: Sequence[float] | DataFrame = (3, 1, 2),
     blocks = placed.join(cell, "sid").withColumn("at", F.floor(F.col("pos") / F.col("cell"))).join(split, ["sid", "at"])
     blocks = blocks.where("pos >= start and pos < start + n")
     blocks = blocks.select("rid", "doc_id", "sid", "pass", "block", "words", "shard", F.xxhash64(F.lit(seed + 1), "sid", "pos").alias("place"), *_MARKS)
-    return Mix(sized.select("rid", "doc_id", "source", "size", "source_size", "target"), blocks)
+    return Mix(sized.select("rid", "doc_id", "source", "size", "source_size", "target"), blocks, shards)
 
 
 def mixed_words(documents: DataFrame, **options) -> DataFrame:
@@ -230,27 +233,30 @@ def mixed_words(documents: DataFrame, **options) -> DataFrame:
 
 
 def _dealt(documents: DataFrame, **options) -> tuple[DataFrame, list[Column]]:
-    """documents, whole, a row for each time one is taken, with shard_ and place_; and the columns to select. A row's
-    copies are found by its marks, so rows that repeat a doc_id have each their own; of equal rows one stands for all."""
+    """documents, whole, a row for each time one is taken, with shard_ and place_; and the columns to select. A partition
+    is a range of at most TASK_SHARDS shards, its rows in the order drawn for them. A row's copies are found by its marks,
+    so rows that repeat a doc_id have each their own; of equal rows one stands for all."""
     own, back = guarded(documents, "doc_id", "text", "source")
     own = row_marks(own, *_MARKS)
-    blocks = mix(own, block_words=None, **options).blocks
-    taken = stage(blocks.select(*(F.col(m).alias(f"of_{m}") for m in _MARKS), F.col("shard").alias("shard_"), F.col("place").alias("place_")), "taken")
+    made = mix(own, block_words=None, **options)
+    taken = stage(made.blocks.select(*(F.col(m).alias(f"of_{m}") for m in _MARKS), F.col("shard").alias("shard_"), F.col("place").alias("place_")), "taken")
     same = [F.col(m) == F.col(f"of_{m}") for m in _MARKS]
     several = stage(own.groupBy(*_MARKS).agg(F.count("*").alias("n")).where("n > 1").select(*_MARKS), "repeated")
     if not several.isEmpty():
         own = own.join(if_small(several), list(_MARKS), "left_anti").unionByName(own.join(if_small(several), list(_MARKS), "left_semi").dropDuplicates(list(_MARKS)))
-    return own.join(if_small(taken), same), back
+    tasks = min(made.shards, max(own.sparkSession.sparkContext.defaultParallelism, ceil(made.shards / TASK_SHARDS)))
+    dealt = own.join(if_small(taken), same).repartitionById(tasks, F.floor(F.col("shard_") * tasks / made.shards).cast("int"))
+    return dealt.sortWithinPartitions("shard_", "place_"), back
 
 
 def mixed_documents(documents: DataFrame, **options) -> DataFrame:
-    """documents as the mix takes them, whole: a row for each time its document is taken. Each partition holds whole
-    shards, their rows in the order drawn for them."""
+    """documents as the mix takes them, whole: a row for each time its document is taken. Partitions hold whole shards, in
+    their order, and the rows of each in the order drawn for them."""
     dealt, back = _dealt(documents, **options)
-    return dealt.repartition("shard_").sortWithinPartitions("shard_", "place_").select(*back)
+    return dealt.select(*back)
 
 
 def write_mix(documents: DataFrame, path: str, **options) -> None:
     """The same, written as Parquet in one folder for each shard."""
     dealt, back = _dealt(documents, **options)
-    dealt.repartition("shard_").sortWithinPartitions("shard_", "place_").select(F.col("shard_").alias("shard"), *back).write.partitionBy("shard").parquet(path)
+    dealt.select(F.col("shard_").alias("shard"), *back).write.partitionBy("shard").parquet(path)

@@ -358,6 +358,20 @@ def test_mixed_documents_go_by_row(spark, docs, tmp_path):
     assert Counter(tuple(r) for r in written.select(*twice.columns).collect()) == has and written.select("shard").distinct().count() == -(-len(got) // 30)
 
 
+def test_a_task_takes_a_range_of_whole_shards(spark, docs, monkeypatch):
+    """However many rows there are, and however few partitions a shuffle has."""
+    monkeypatch.setattr(mixing, "TASK_SHARDS", 2)
+    dealt, _ = mixing._dealt(docs, shard_blocks=5)
+    rows = dealt.withColumn("task", F.spark_partition_id()).select("task", "shard_", "place_").collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r.task, []).append((r.shard_, r.place_))
+    assert len(by) > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = [({s for s, _ in by[t]}) for t in sorted(by)]
+    assert all(len(x) <= 2 for x in ranges) and all(max(a) < min(b) for a, b in zip(ranges, ranges[1:]))
+    assert all(x == sorted(x) for x in by.values())
+
+
 ENCODER = Tokenizer.from_file(VOCABULARY)
 
 
