@@ -34,7 +34,7 @@ from sedgewire.llm.common import WORD, guarded, if_small, row_marks, running, st
 BLOCK_WORDS = 512
 SHARD_BLOCKS = 4096
 #: Shards that one task writes.
-TASK_SHARDS = 16
+TASK_SHARDS = 4
 RANGE = 2_000
 #: Sources that are split together, and shards that one task walks to.
 GROUP, CHUNK = 512, 256
