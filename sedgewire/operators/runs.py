@@ -4,7 +4,8 @@ added to, so runs side by side do not undo each other."""
 from __future__ import annotations
 
 import datetime
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,49 @@ def lookup(spark: SparkSession, path: str, questions: DataFrame, ask: Callable[[
     return spark.read.parquet(path).join(asked, list(by), "left_semi")
 
 
+class Wait(Exception):
+    """A service asks to be asked again later, in so many seconds."""
+
+    def __init__(self, seconds: float):
+        super().__init__(seconds)
+        self.seconds = seconds
+
+
+def paced(say: Callable[[dict], dict | None], schema: str, spacing: float = 0.1, retries: int = 5, broken: int = 10) -> Callable[[DataFrame], DataFrame]:
+    """An `ask` for lookup that puts questions to a remote service one by one, in one task, spacing seconds apart (0.01 at
+    least). say turns a question into a verdict, by the columns of schema, or None if there is none. Where it raises Wait the
+    question is put again after that time, up to `retries` times; after `broken` questions in a row that failed nothing more
+    is asked. Questions without an answer are left for the next run."""
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        names, failed = [x.strip().split()[0] for x in schema.split(",")], 0
+        for batch in batches:
+            rows = []
+            for question in batch.to_dict("records"):
+                if failed >= broken:
+                    break
+                answer = None
+                for _ in range(retries + 1):
+                    time.sleep(max(0.01, spacing))
+                    try:
+                        answer, failed = say(question), 0
+                    except Wait as e:
+                        time.sleep(min(120.0, max(0.5, e.seconds + 0.5)))
+                        continue
+                    except Exception:
+                        failed += 1
+                    break
+                else:
+                    failed += 1
+                if answer is not None:
+                    rows.append([(question | answer).get(n) for n in names])
+            yield pd.DataFrame(rows, columns=names)
+
+    return lambda questions: questions.coalesce(1).mapInPandas(run, schema)
+
+
 def note(spark: SparkSession, path: str, run_id: str, artifact: str, state: str, indexed: int = 0, skipped: int = 0, failed: int = 0) -> None:
     """Adds what is known of a part of a run."""
     if state not in STATES:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sedgewire.functions import ids, timeparse, validators
 from sedgewire.functions.zones import resolve_zone
-from sedgewire.operators import enrich, hosts, runs, search, store, triage
+from sedgewire.operators import enrich, hosts, ranges, runs, search, store, triage
 from sedgewire.plans.querylang import compile_query, fields_of
 from sedgewire.sources import catalog, folder, lines, records, whole
 
@@ -645,6 +645,26 @@ def reduced_logs(spark, d):
     return catalog.reduced_logs(rows.union(rows.withColumn("path", F.lit("/l/Nothing%4Else.evtx"))))
 
 
+@_query(
+    "with r as (select n_nationkey * 1000 as lo, n_nationkey * 1000 + 399 + n_nationkey * 40 as hi, n_name from nation), e as (select event_id, user_id * 7 as ip from events) "
+    "select event_id, (select arg_min(n_name, hi - lo) from r where ip between lo and hi) as place from e"
+)
+def address_ranges(spark, d):
+    """Addresses in ranges of every width, some of which overlap: the narrowest that holds one names its place."""
+    ip = lambda x: F.concat_ws(".", F.lit("10"), F.floor(x / 65536).cast("string"), (F.floor(x / 256) % 256).cast("string"), (x % 256).cast("string"))
+    n = F.col("n_nationkey").cast("long")
+    known = table(spark, d, "nation").select(ip(n * 1000).alias("first"), ip(n * 1000 + 399 + n * 40).alias("last"), F.col("n_name").alias("label"))
+    rows = table(spark, d, "events").select("event_id", ip(F.col("user_id").cast("long") * 7).alias("source.ip"))
+    return ranges.stamp_ranges(rows, known, "source.ip", "place").select("event_id", "place")
+
+
+@_query("select event_id, event_type from events where event_type = 'error' or event_type = 'signup'")
+def programs_deleted(spark, d):
+    rows = table(spark, d, "events").select("event_id", "event_type", F.col("event_type").alias("ExecutableName"))
+    files = rows.select(F.initcap("event_type").alias("FileName"), (~F.col("event_type").isin("error", "signup")).cast("string").alias("InUse"))
+    return ranges.run_then_deleted(rows, files).select("event_id", "event_type")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A compiled query, its terms and its timeline in one table."""
     e = table(spark, sf_dir, "events")
