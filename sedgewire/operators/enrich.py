@@ -137,16 +137,17 @@ def bare_host(x: Column, domains: list[str] | tuple[str, ...] = ()) -> Column:
 
 
 def _dealt(df: DataFrame, name: str) -> DataFrame:
-    """df's distinct rows over as many tasks as there are cores or shuffle partitions: few rows, but much work for each."""
+    """df over as many tasks as there are cores or shuffle partitions: few rows, but much work for each. By a hash of the
+    name, as Spark leaves out a repartition by what rows were grouped by, and makes few tasks of few bytes."""
     spark = df.sparkSession
-    return df.distinct().repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), name)
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64(name))
 
 
 def _grams(df: DataFrame, name: str) -> DataFrame:
     """df (name, length) with its grams: pairs of neighbouring characters, ends marked, each with its number among equals."""
     text = F.concat(F.lit("\x01"), F.col(name), F.lit("\x02"))
     pairs = F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda k: F.substring(text, k, F.lit(2)))
-    numbered = df.withColumn("pairs_", pairs)
+    numbered = _dealt(df, name).withColumn("pairs_", pairs)
     each = F.transform("pairs_", lambda g, k: F.struct(g.alias("gram"), F.size(F.filter(F.slice("pairs_", F.lit(1), k + 1), lambda x: x == g)).alias("number"), k.alias("at")))
     return numbered.select(*df.columns, F.explode(each).alias("g")).select(*df.columns, "g.*")
 
@@ -155,20 +156,47 @@ def _most_edits(length: Column, least: float) -> Column:
     return F.floor((1 - least) * length + 1e-9).cast("int")
 
 
-def _without(x: Column, some: Column) -> Column:
-    """The distinct strings that are left of x without one character, or, if `some` is 2, without one or two; and x."""
-    cut = lambda s: F.transform(F.sequence(F.lit(1), F.length(s)), lambda k: F.concat(F.substring(s, F.lit(1), k - 1), F.substring(s, k + 1, F.length(s))))
-    one = F.when((some > 0) & (F.length(x) > 0), F.array_distinct(cut(x))).otherwise(F.array().cast("array<string>"))
-    two = F.when((some > 1) & (F.length(x) > 1), F.array_distinct(F.flatten(F.transform(one, cut)))).otherwise(F.array().cast("array<string>"))
-    return F.concat(F.array(x), one, two)
-
-
-def _by_deletions(asked: DataFrame, known: DataFrame, least: float, longest: int) -> DataFrame:
-    """Pairs of names of at most `longest` characters, where two edits are allowed at most: two names within k edits are
-    equal when up to k characters are left out of each."""
-    some = lambda c: F.least(F.lit(2), _most_edits(F.least(F.lit(longest), F.floor(F.length(c) / least)), least))
-    short = lambda df, c: df.where(F.length(c) <= longest).withColumn("left_", F.explode(_without(F.col(c), some(c))))
-    return short(asked, "n_").join(short(known, "h_"), "left_").select("name", "n_", "canonical", "h_")
+def _shuffled(one: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Joined without a broadcast: Spark guesses the size of exploded rows by that of the rows they come from."""
+    return one.join(other.hint("merge"), on, how)
+
+
+def _ways(edits: int) -> list[tuple[int, int, int]]:
+    """How many characters are left out of the name, out of the canonical, and replaced, so that they are so many edits apart."""
+    return [(a, b, edits - a - b) for a in range(edits + 1) for b in range(edits + 1 - a)]
+
+
+def _left(df: DataFrame, name: str, edits: int, least: float, longest: int, lengths: DataFrame, side: int) -> DataFrame:
+    """df with what is left of a column, one or two edits taken out in any of _ways: `way`, the text `left_`, and the places
+    `at` where it had characters that may be replaced. side: 0 for names, 1 for canonicals; lengths: those of the other side."""
+    shortest = min((n for n in range(1, longest + 1) if int((1 - least) * n + 1e-9) >= edits), default=longest + 1)
+    cut = lambda x, k: f"concat(substring({x}, 1, {k} - 1), substring({x}, {k} + 1))"
+    last_alike = lambda x, k: f"substring({x}, {k}, 1) <> substring({x}, {k} + 1, 1)"  # noqa: E731  # of equal neighbours one is enough
+    ways = []
+    for k, way in enumerate(_ways(edits)):
+        other = f"length({name}) + {way[1 - side] - way[side]}"
+        fits = f"greatest(length({name}), {other}) between {shortest} and {longest} and array_contains(lengths_, {other})"
+        ways.append(f"case when {fits} then struct({k} as way, {way[side]} as out, {way[2]} as open) end")
+    rows = _dealt(df, name).crossJoin(F.broadcast(lengths)).selectExpr(*df.columns, f"inline(array_compact(array({', '.join(ways)})))")
+    rows = rows.selectExpr("*", f"explode(if(out + open = 0, array(0), sequence(1, length({name})))) as i")
+    rows = rows.where(f"i = 0 or out = 0 or {last_alike(name, 'i')}").selectExpr("*", f"if(i = 0, {name}, {cut(name, 'i')}) as one")
+    rows = rows.selectExpr("*", "case when out = 2 then greatest(i - 1, 1) when open = 2 then i else 1 end as from_j")
+    rows = rows.selectExpr("*", "explode(case when out + open < 2 then array(0) when from_j <= length(one) then sequence(from_j, length(one)) else cast(array() as array<int>) end) as j")
+    at = "case when open = 0 then 0 when open = 2 then i * 64 + j when out = 0 then i else j end as at"
+    return rows.where(f"j = 0 or out < 2 or {last_alike('one', 'j')}").selectExpr(*df.columns, "way", at, f"if(j = 0, one, {cut('one', 'j')}) as left_")
+
+
+def _by_edits(asked: DataFrame, known: DataFrame, edits: int, least: float, longest: int, of_names: DataFrame, of_hosts: DataFrame) -> DataFrame:
+    """(n_, best): the closest of known (h_, canonical) by at most so many edits, 1 or 2, for names of at most `longest`
+    characters. Texts that meet with a way's characters left out are that close, so of the canonicals that leave a text the
+    first one is enough: no pairs are made, and work grows with the names alone. A score may be too low where fewer edits do.
+    of_names, of_hosts: the lengths that there are."""
+    of_known = _left(known, "h_", edits, least, longest, of_names, 1).groupBy("way", "at", "left_").agg(F.min("canonical").alias("canonical"))
+    of_asked = _left(asked, "n_", edits, least, longest, of_hosts, 0)
+    both = _shuffled(of_asked, of_known, ["way", "at", "left_"])
+    more = F.element_at(F.array(*(F.lit(max(b - a, 0)) for a, b, _ in _ways(edits))), F.col("way") + 1)
+    both = both.withColumn("score", 1 - edits / (F.length("n_") + more)).where(F.col("score") >= least - 1e-12)
+    return both.groupBy("n_").agg(F.min(F.struct((-F.col("score")).alias("s"), "canonical")).alias("best"))
 
 
 def _by_grams(asked: DataFrame, known: DataFrame, least: float, longest: int) -> DataFrame:
@@ -182,32 +210,39 @@ def _by_grams(asked: DataFrame, known: DataFrame, least: float, longest: int) ->
     of_known = _grams(known.join(F.broadcast(asked.select("length").distinct()), "length"), "h_")
     often = of_known.groupBy("gram", "number").agg(F.count("*").alias("often"))
 
-    def rarest(grams: DataFrame, name: str, key: str) -> DataFrame:
+    def rarest(grams: DataFrame, name: str, *keys: str) -> DataFrame:
         most = _most_edits(F.floor(F.length(name) / least), least)
-        found = grams.join(often, ["gram", "number"], "left").groupBy(key, name, "length")
+        found = _shuffled(grams, often, ["gram", "number"], "left").groupBy(*keys, name, "length")
         rows = found.agg(F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "gram", "number", "at"))), F.lit(1), 2 * most + 1).alias("few"))
-        return rows.select(key, name, "length", F.explode("few").alias("g")).where("g.often > 0").select(key, name, "length", "g.gram", "g.number", F.col("g.at").alias(f"{name}at"))
+        return rows.select(*keys, name, "length", F.explode("few").alias("g")).where("g.often > 0").select(*keys, name, "length", "g.gram", "g.number", F.col("g.at").alias(f"{name}at"))
 
-    both = rarest(_grams(asked, "n_"), "n_", "name").join(rarest(of_known, "h_", "canonical"), ["gram", "number", "length"])
-    return both.where(F.abs(F.col("n_at") - F.col("h_at")) <= _most_edits(F.greatest(F.length("n_"), F.length("h_")), least)).select("name", "n_", "canonical", "h_")
+    both = _shuffled(rarest(_grams(asked, "n_"), "n_"), rarest(of_known, "h_", "canonical"), ["gram", "number", "length"])
+    return both.where(F.abs(F.col("n_at") - F.col("h_at")) <= _most_edits(F.greatest(F.length("n_"), F.length("h_")), least)).select("n_", "canonical", "h_")
 
 
 def propose_hosts(names: DataFrame, hosts: DataFrame, least: float = 0.85, domains: list[str] | tuple[str, ...] = ()) -> DataFrame:
     """(name, canonical, score): the closest canonical of (canonical) for each name, by the names without suffixes and
-    domains, exact first, ties alphabetical. Names that allow two edits at most meet on what deletions leave of them, longer
-    ones on rare grams; only such pairs are compared, by a bounded edit distance."""
+    domains, exact first, ties alphabetical. Names that allow two edits at most meet on what is left of them without one edit,
+    then, if none is that close, without two; longer ones meet on rare grams, and such pairs are compared by a bounded edit distance."""
     longest = max((n for n in range(1, 64) if int((1 - least) * n + 1e-9) <= 2), default=1)
-    known = hosts.select("canonical", bare_host(F.col("canonical"), domains).alias("h_")).where("h_ <> ''")
-    asked = names.select("name", bare_host(F.col("name"), domains).alias("n_")).where("n_ <> ''")
-    known, asked = _dealt(known, "h_"), _dealt(asked, "n_")
-    exact = asked.join(known, F.col("n_") == F.col("h_")).groupBy("name").agg(F.min("canonical").alias("canonical")).withColumn("score", F.lit(1.0))
-    asked = asked.join(known.select(F.col("h_").alias("n_")), "n_", "left_anti")
-    both = _by_deletions(asked, known, least, longest).unionByName(_by_grams(asked, known, least, longest))
+    bare = lambda df, c, to: df.select(c, F.coalesce(bare_host(F.col(c), domains), F.lit("")).alias(to)).where(F.col(to) != "")
+    lengths = lambda df, c: df.where(F.length(c) <= longest).agg(F.collect_set(F.length(c)).alias("lengths_"))
+    spelt = bare(names, "name", "n_").distinct()
+    known = bare(hosts, "canonical", "h_").groupBy("h_").agg(F.min("canonical").alias("canonical"))
+    every = spelt.select("n_").distinct()
+    of_names, of_hosts = lengths(every, "n_"), lengths(known, "h_")
+    asked = _shuffled(every, known.withColumnRenamed("h_", "n_"), ["n_"], "left")
+    exact = asked.where("canonical is not null").select("n_", F.struct(F.lit(-1.0).alias("s"), "canonical").alias("best"))
+    asked = asked.where("canonical is null").select("n_")
+    one = _by_edits(asked, known, 1, least, longest, of_names, of_hosts)
+    #: Two edits never beat one, and tie with it in names of two characters alone.
+    rest = _shuffled(asked, one, ["n_"], "left").where((F.length("n_") <= 2) | F.col("best").isNull()).select("n_")
+    two = _by_edits(rest, known, 2, least, longest, of_names, of_hosts)
     most = F.greatest(F.length("n_"), F.length("h_"))
-    both = both.withColumn("edits", F.call_function("levenshtein", F.col("n_"), F.col("h_"), _most_edits(most, least))).where("edits >= 0")  # -1: more than that
-    both = both.withColumn("score", 1 - F.col("edits") / most).where(F.col("score") >= least - 1e-12)
-    best = both.groupBy("name").agg(F.min(F.struct((-F.col("score")).alias("s"), "canonical")).alias("best"))
-    return exact.unionByName(best.select("name", F.col("best.canonical").alias("canonical"), (-F.col("best.s")).alias("score")))
+    far = _by_grams(asked, known, least, longest).withColumn("edits", F.call_function("levenshtein", F.col("n_"), F.col("h_"), _most_edits(most, least))).where("edits >= 0")  # -1: more than that
+    far = far.withColumn("score", 1 - F.col("edits") / most).where(F.col("score") >= least - 1e-12).select("n_", F.struct((-F.col("score")).alias("s"), "canonical").alias("best"))
+    best = exact.unionByName(one).unionByName(two).unionByName(far).groupBy("n_").agg(F.min("best").alias("best"))
+    return _shuffled(spelt, best, ["n_"]).select("name", F.col("best.canonical").alias("canonical"), (-F.col("best.s")).alias("score"))
 
 
 def fix_host(df: DataFrame, raw: str, new: str) -> DataFrame:
